@@ -46,10 +46,23 @@ def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
 
     Rows of `roots` that name a `dir` keep that directory instead.
     """
-    marks = roots.select("root", F.col("dir") if "dir" in roots.columns else F.lit("").alias("dir"))
+    directory = F.col("dir") if "dir" in roots.columns else F.lit("").alias("dir")
+    marks = roots.select("root", directory, F.lit(True).alias("marked"))
     return members.unionByName(marks, allowMissingColumns=True)
 
 
+def _totals() -> list[Column]:
+    return [
+        F.count("name").alias("file_count"),
+        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
+    ]
+
+
+def _kept() -> list[Column]:
+    """Directories with files stay, and so do marked ones."""
+    return [((F.count("name") > 0) | F.coalesce(F.bool_or("marked"), F.lit(False))).alias("kept")]
+
+
 def directory_hashes(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """File count, total size and combined hash per directory.
 
@@ -59,20 +72,13 @@ def directory_hashes(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
     split = split_by_size(files, DIRECTORY, limits)
     gathered = (
         split.bounded.groupBy(*DIRECTORY)
-        .agg(
-            F.count("name").alias("file_count"),
-            F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
-            _in_name_order("name", "content_hash").alias("files"),
-        )
+        .agg(*_totals(), _in_name_order("name", "content_hash").alias("files"))
         .withColumn("content_hash", combined_hash(F.col("files.content_hash")))
         .drop("files")
     )
     if split.oversized is None:
         return gathered
-    totals = split.oversized.groupBy(*DIRECTORY).agg(
-        F.count("name").alias("file_count"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
-    )
+    totals = split.oversized.groupBy(*DIRECTORY).agg(*_totals())
     return gathered.unionByName(totals.join(_streamed_hashes(split), DIRECTORY))
 
 
@@ -172,14 +178,15 @@ def directory_records(
     measured = measured.unionByName(children.select(*DIRECTORY), allowMissingColumns=True)
     split = split_by_size(members, DIRECTORY, limits, F.col("size_bytes"), measured)
     gathered = split.bounded.groupBy(*DIRECTORY).agg(
-        F.count("name").alias("file_count"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
+        *_totals(),
+        *_kept(),
         _in_name_order(*_FILE).alias("files"),
         F.array_sort(F.collect_set("child")).alias("subdirectories"),
     )
-    kept = gathered.where((F.col("file_count") > 0) | (F.col("dir") == ""))
     records = _with_counts(
-        kept.withColumns(
+        gathered.where("kept")
+        .drop("kept")
+        .withColumns(
             {
                 "content_hash": combined_hash(F.col("files.content_hash")),
                 "all_functions": F.array_distinct(F.flatten(F.col("files.functions"))),
@@ -228,10 +235,7 @@ def _large_directories(records: DataFrame, split: Split) -> Directories:
     )
     lists = unions.unionByName(children)
 
-    totals = members.groupBy(*DIRECTORY).agg(
-        F.count("name").alias("file_count"),
-        F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("total_size_bytes"),
-    )
+    totals = members.groupBy(*DIRECTORY).agg(*_totals(), *_kept())
     digests = _streamed_hashes(split)
     # Spark keeps only the leading rows of each task before it shuffles for the rank.
     rank = F.row_number().over(Window.partitionBy(*DIRECTORY, "list").orderBy("at_file", "at"))
@@ -253,7 +257,8 @@ def _large_directories(records: DataFrame, split: Split) -> Directories:
         *(F.count_if(F.col("list") == name).cast("int").alias(f"{name}_count") for name in LISTS)
     )
     heads = (
-        totals.where((F.col("file_count") > 0) | (F.col("dir") == ""))
+        totals.where("kept")
+        .drop("kept")
         .join(digests, DIRECTORY, "left")
         .join(leading, DIRECTORY, "left")
         .join(counts, DIRECTORY, "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -59,55 +60,72 @@ class Store:
 def export_documents(
     documents: DataFrame, folder: str, file_name: str = DOCUMENT_NAME
 ) -> DataFrame:
-    """Write every document as a UTF-8 file under a folder all executors can reach.
+    """Write every document to a file of its directory; see `export_files`."""
+    path = F.concat_ws("/", F.nullif("dir", F.lit("")), F.lit(file_name))
+    return export_files(
+        documents.select("root", path.alias("path"), "section", "start", "markdown"), folder
+    )
 
-    Returns one row per file with its size or error. Each file appears by
-    rename, so a repeated task leaves the same result. Running the frame writes.
-    """
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = f".{os.getpid()}.part"
-        current, stream, size, error = None, None, 0, None
+def export_files(texts: DataFrame, folder: str) -> DataFrame:
+    """Write texts (`root`, `path`, `section`, `start`, `markdown`) as UTF-8 files.
 
-        def finish() -> tuple:
-            if stream is not None:
-                stream.close()
-            if error is None:
-                os.replace(current[2] + task, current[2])
-            return (current[0], current[1], size if error is None else None, error)
+    Returns one row per file with its size or error; running it writes. The
+    folder must be a path that all executors can reach. Each file appears by
+    rename, so a repeated task leaves the same result.
+    """
+    base = folder.removeprefix("file:")
 
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["root", "path", "bytes", "error"]
+        file = None
         for batch in batches:
             done = []
-            for root, directory, text in zip(batch["root"], batch["dir"], batch["markdown"]):
-                if current is None or (root, directory) != current[:2]:
-                    if current is not None:
-                        done.append(finish())
-                    target = os.path.join(folder, root.strip("/"), directory, file_name)
-                    current, stream, size, error = (root, directory, target), None, 0, None
-                    try:
-                        os.makedirs(os.path.dirname(target), exist_ok=True)
-                        stream = open(target + task, "wb")
-                    except OSError as failure:
-                        error = str(failure)
-                if error is None:
-                    try:
-                        size += stream.write(text.encode())
-                    except OSError as failure:
-                        error = str(failure)
-            yield pd.DataFrame(done, columns=["root", "dir", "bytes", "error"])
-        if current is not None:
-            yield pd.DataFrame([finish()], columns=["root", "dir", "bytes", "error"])
-
-    # Parts of one document meet in one task, which streams them to its file.
-    placed = documents.select("root", "dir", "section", "start", "markdown")
-    ordered = placed.repartition("root", "dir").sortWithinPartitions(
-        "root", "dir", "section", "start"
-    )
-    return ordered.select("root", "dir", "markdown").mapInPandas(
-        write, "root string, dir string, bytes bigint, error string"
+            for root, path, text in zip(batch["root"], batch["path"], batch["markdown"]):
+                if file is None or file.key != (root, path):
+                    if file is not None:
+                        done.append(file.finish())
+                    file = _OutputFile(base, root, path)
+                file.add(text)
+            yield pd.DataFrame(done, columns=columns)
+        if file is not None:
+            yield pd.DataFrame([file.finish()], columns=columns)
+
+    # The parts of one file meet in one task, which streams them.
+    together = texts.repartition("root", "path")
+    ordered = together.sortWithinPartitions("root", "path", "section", "start")
+    return ordered.select("root", "path", "markdown").mapInPandas(
+        write, "root string, path string, bytes bigint, error string"
     )
 
 
-def export_errors(exported: DataFrame) -> DataFrame:
-    """Exported files that could not be written."""
-    return exported.where(F.col("error").isNotNull())
+class _OutputFile:
+    """One file being written under a task's own name until it is complete."""
+
+    def __init__(self, folder: str, root: str, path: str):
+        self.key = (root, path)
+        self.target = os.path.join(folder, root.strip("/"), path)
+        self.part = f"{self.target}.{uuid4().hex}.part"
+        self.size, self.error, self.stream = 0, None, None
+        try:
+            os.makedirs(os.path.dirname(self.target), exist_ok=True)
+            self.stream = open(self.part, "wb")
+        except OSError as failure:
+            self.error = str(failure)
+
+    def add(self, text: str) -> None:
+        if self.error is None:
+            try:
+                self.size += self.stream.write(text.encode())
+            except OSError as failure:
+                self.error = str(failure)
+
+    def finish(self) -> tuple:
+        try:
+            if self.stream is not None:
+                self.stream.close()
+            if self.error is None:
+                os.replace(self.part, self.target)
+        except OSError as failure:
+            self.error = str(failure)
+        return (*self.key, self.size if self.error is None else None, self.error)
