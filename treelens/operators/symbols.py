@@ -68,7 +68,6 @@ def module_metadata(source: str | None) -> dict:
     }
 
 
-@arrow_udf(METADATA)
 def _metadata(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     known: dict[str, dict] = {}
     for hashes, sources in batches:
@@ -89,7 +88,7 @@ def _metadata(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 
 def parse(digest: Column, source: Column) -> Column:
     """Struct of docstring, functions, classes, imports and parse error."""
-    return _metadata(digest, source)
+    return arrow_udf(_metadata, METADATA)(digest, source)
 
 
 def file_records(files: DataFrame, keep_source: bool = False) -> DataFrame:

@@ -373,6 +373,12 @@ ORACLE: dict[str, str] = {
     CASE WHEN refused THEN 'failed' ELSE 'ok' END AS summary_status,
     CASE WHEN refused THEN 3 ELSE 1 END AS attempts,
     CASE WHEN refused THEN 'ValueError: refused' END AS error FROM judged""",
+    "incremental_write": f"""WITH {CODE_DIRS},
+    touched AS (SELECT count(DISTINCT dir) AS n FROM records WHERE path LIKE '%97.py'),
+    every AS (SELECT count(*) AS n FROM dirs)
+    SELECT 1 AS run, n AS written, 0 AS skipped, 0 AS errors FROM every
+    UNION ALL SELECT 2, 0, n, 0 FROM every
+    UNION ALL SELECT 3, t.n, e.n - t.n, 0 FROM every e, touched t""",
     "export_documents": f"""WITH {WITH_SUMMARY}
     SELECT root, dir, strlen(markdown) AS bytes, CAST(NULL AS VARCHAR) AS error FROM documents_""",
     "purge_listing": f"""WITH {ALL}, {_hashed('corpus')}, {DIRS}, {MANIFEST}

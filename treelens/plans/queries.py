@@ -579,7 +579,7 @@ def incremental_write(spark: SparkSession, folder: str) -> DataFrame:
     """Three runs: everything, nothing new, and some files changed."""
     store = Store(new_folder(spark, "store"))
     before = views.code(spark, folder)
-    touched = F.crc32("path") % 97 == 0
+    touched = F.col("path").endswith("97.py")
     content = F.when(touched, F.concat("content", F.lit("\n# touched\n")))
     after = before.withColumn("content", F.coalesce(content, "content"))
     counts = None

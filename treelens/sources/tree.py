@@ -22,20 +22,20 @@ from treelens.functions.ignore import IgnoreRules
 
 LISTING = "kind string, root string, path string, length bigint, read_error string"
 CONTENTS = "root string, path string, length bigint, content binary, read_error string"
-# Start directories per listing task, and how far the driver looks for them.
-_TASKS = 256
-_LOOK_AHEAD = 2
+# Start directories per listing task, and how many levels the driver looks for them.
+STARTS_PER_TASK = 4
+LOOK_AHEAD = 2
 DEFAULT_MAX_BYTES = 1 << 30
 TASK_BYTES = 128 << 20
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 1024
 
 
-class Subtree(InputPartition):
-    """A directory to list, with all below it or alone."""
+class Subtrees(InputPartition):
+    """Directories for one task, each to be listed alone or with all below it."""
 
-    def __init__(self, root: str, directory: str, deep: bool):
-        self.root, self.directory, self.deep = root, directory, deep
+    def __init__(self, starts: list[tuple[str, str, bool]]):
+        self.starts = starts
 
 
 class TreeReader(DataSourceReader):
@@ -45,30 +45,34 @@ class TreeReader(DataSourceReader):
         self.rules = IgnoreRules.of(patterns.split("\n") if patterns else ())
         depth = options.get("max_depth", "")
         self.max_depth = int(depth) if depth else None
+        self.tasks = int(options.get("tasks", "32"))
 
     def partitions(self) -> list[InputPartition]:
-        """Subtrees near the top; directories above them are listed alone."""
-        done, open_ends = [], [(root, "") for root in self.roots]
-        for _ in range(_LOOK_AHEAD):
-            if len(open_ends) >= _TASKS:
+        """Subtrees near the top, dealt out to tasks; what is above them is listed alone."""
+        starts, open_ends = [], [(root, "") for root in self.roots]
+        for _ in range(LOOK_AHEAD):
+            if len(open_ends) >= STARTS_PER_TASK * self.tasks:
                 break
-            below = []
-            for root, directory in open_ends:
-                done.append(Subtree(root, directory, deep=False))
-                below += [(root, child) for child in self._children(root, directory)]
-            open_ends = below
-        return done + [Subtree(root, directory, deep=True) for root, directory in open_ends]
-
-    def read(self, partition: Subtree) -> Iterator[tuple]:
-        if partition.directory == "":
-            yield ("dir", partition.root, "", None, None)
-        waiting = [partition.directory]
-        while waiting:
-            directory = waiting.pop()
-            for row in self._entries(partition.root, directory):
-                yield row
-                if partition.deep and row[0] == "dir" and self._enters(row[2]):
-                    waiting.append(row[2])
+            starts += [(root, directory, False) for root, directory in open_ends]
+            open_ends = [
+                (root, child)
+                for root, directory in open_ends
+                for child in self._children(root, directory)
+            ]
+        starts += [(root, directory, True) for root, directory in open_ends]
+        dealt = (starts[task :: self.tasks] for task in range(self.tasks))
+        return [Subtrees(some) for some in dealt if some]
+
+    def read(self, partition: Subtrees) -> Iterator[tuple]:
+        for root, start, deep in partition.starts:
+            if start == "":
+                yield ("dir", root, "", None, None)
+            waiting = [start]
+            while waiting:
+                for row in self._entries(root, waiting.pop()):
+                    yield row
+                    if deep and row[0] == "dir" and self._enters(row[2]):
+                        waiting.append(row[2])
 
     def _enters(self, directory: str) -> bool:
         """Whether a walk goes into this directory: not ignored, and not too deep."""
@@ -132,6 +136,7 @@ def list_trees(
         .option("path", "\n".join(os.path.abspath(root) for root in roots))
         .option("ignore", "\n".join(ignore.patterns))
         .option("max_depth", "" if max_depth is None else str(max_depth))
+        .option("tasks", str(spark.sparkContext.defaultParallelism))
         .load()
     )
 
