@@ -12,6 +12,7 @@ from treelens.operators.render import render
 from treelens.operators.rollup import directory_hashes, directory_records, with_roots
 from treelens.operators.summaries import prompts, summarize
 from treelens.operators.symbols import file_records
+from treelens.operators.workspace import written
 
 STAMP = "2024-01-01T00:00:00Z"
 SMALL = Limits(rows=7)
@@ -35,7 +36,7 @@ def hot_corpus(seed: int = 1) -> dict[str, str]:
 
 def made(spark, files, limits=Limits(), parts=5):
     everything = corpus(spark, files).repartition(parts)
-    records = file_records(everything.where(is_member(IgnoreRules())))
+    records = written(file_records(everything.where(is_member(IgnoreRules()))), "records")
     children = child_directories(directories_of(everything), IgnoreRules())
     return directory_records(records, children, everything.select("root").distinct(), limits)
 

@@ -87,8 +87,12 @@ def _metadata(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 
 
 def parse(digest: Column, source: Column) -> Column:
-    """Struct of docstring, functions, classes, imports and parse error."""
-    return arrow_udf(_metadata, METADATA)(digest, source)
+    """Struct of docstring, functions, classes, imports and parse error.
+
+    It counts as non-deterministic, or a filter on its fields, such as the one
+    Spark adds below an explode, would be pushed down as a second parse.
+    """
+    return arrow_udf(_metadata, METADATA).asNondeterministic()(digest, source)
 
 
 def file_records(files: DataFrame, keep_source: bool = False) -> DataFrame:

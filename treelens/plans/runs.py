@@ -95,15 +95,19 @@ def generate(
     status = written(status, "status")
 
     changed = status.where("changed").select(*DIRECTORY)
-    totals = status.agg(F.count_if("changed"), F.count(F.lit(1))).first()
-    some_unchanged = totals[0] < totals[1]
+    n_changed, n = status.agg(F.count_if("changed"), F.count(F.lit(1))).first()
+    if n_changed == 0:
+        counts = run_summary(status.withColumn("errors", F.lit(0)))
+        return Run(run_id, store.written_by(spark, run_id), rejects, counts)
+    some_unchanged = n_changed < n
     narrowed = changed if some_unchanged else None
     conditions = [is_member(rules, suffix), reached(rules, max_depth)]
-    contents = corpus.contents(conditions, narrowed, totals[0])
+    contents = corpus.contents(conditions, narrowed, n_changed)
     records = file_records(contents.where(F.col("read_error").isNull()))
-    children = child_directories(corpus.directories, rules)
-    children = children.join(changed, DIRECTORY, "left_semi")
-    if some_unchanged and totals[0] > MAX_BROADCAST_DIRECTORIES:
+    children = child_directories(corpus.directories, rules).where(reached(rules, max_depth))
+    if some_unchanged:
+        children = children.join(changed, DIRECTORY, "left_semi")
+    if some_unchanged and n_changed > MAX_BROADCAST_DIRECTORIES:
         records = records.join(changed, DIRECTORY, "left_semi")
     records = written(records, "records")
 

@@ -26,7 +26,8 @@ CONTENTS = "root string, path string, length bigint, content binary, read_error
 STARTS_PER_TASK = 4
 LOOK_AHEAD = 2
 DEFAULT_MAX_BYTES = 1 << 30
-TASK_BYTES = 128 << 20
+TASK_BYTES = 256 << 20
+MAX_TASKS = 100_000
 BATCH_BYTES = 8 << 20
 BATCH_ROWS = 1024
 
@@ -187,6 +188,6 @@ def read_contents(
     if partitions is None:
         total = files.agg(F.sum("length")).first()[0] or 0
         cores = files.sparkSession.sparkContext.defaultParallelism
-        partitions = max(cores, ceil(total / TASK_BYTES))
+        partitions = min(max(cores, ceil(total / TASK_BYTES)), MAX_TASKS)
     spread = files.select("root", "path", "length").repartition(partitions, "root", "path")
     return spread.mapInArrow(contents, CONTENTS)
