@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treelens.functions.text import strip
+from treelens.functions.text import BLANKS, strip
 
 SUMMARY = (
     "struct<overview: string, key_symbols: array<string>, patterns: array<string>, "
@@ -40,9 +40,12 @@ def clean_answer(raw: Column) -> Column:
     it and so fails to parse.
     """
     text = strip(raw)
-    opened = F.regexp_replace(text, r"(?s)\A[^\n]*\n", "")
-    closed = F.regexp_replace(opened, r"(?U)[\s\x1c-\x1f]*```\z", "")
-    return F.when(text.startswith("```"), closed).otherwise(text)
+    fence = "```"
+    # Without a newline the position is 0, and the text stays as it is.
+    opened = F.substring(text, F.locate("\n", text) + 1, F.char_length(text))
+    inside = F.left(opened, F.char_length(opened) - len(fence))
+    closed = F.when(opened.endswith(fence), F.rtrim(inside, F.lit(BLANKS))).otherwise(opened)
+    return F.when(text.startswith(fence), closed).otherwise(text)
 
 
 def _kind(value: Column) -> Column:

@@ -78,3 +78,24 @@ def split_by_size(
 def in_ranges(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
     """Add `chunk`, the number of the range of `order` that a row falls into."""
     return df.repartitionByRange(ranges, *order).withColumn("chunk", F.spark_partition_id())
+
+
+def spread_if_small(df: DataFrame) -> DataFrame:
+    """Deal rows out to all cores when the input is too small to give each one a split.
+
+    Parsing takes far longer than reading, and a small table is often one split.
+    Inputs that make at least one split per core are left where they are.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if size < cores * split else df
+
+
+def task_count(df: DataFrame) -> int:
+    """Tasks of a shuffle, for stages whose cost is not in the bytes they shuffle.
+
+    Given as a number it also keeps Spark from merging small partitions.
+    """
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from treelens.functions.ignore import DOCUMENT_NAME
 from treelens.operators.changes import MANIFEST, current_manifest
+from treelens.operators.groups import task_count
 
 DOCUMENTS = (
     "root string, dir string, content_hash string, summary_status string, error string, "
@@ -92,7 +93,7 @@ def export_files(texts: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame([file.finish()], columns=columns)
 
     # The parts of one file meet in one task, which streams them.
-    together = texts.repartition("root", "path")
+    together = texts.repartition(task_count(texts), "root", "path")
     ordered = together.sortWithinPartitions("root", "path", "section", "start")
     return ordered.select("root", "path", "markdown").mapInPandas(
         write, "root string, path string, bytes bigint, error string"

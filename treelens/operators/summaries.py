@@ -14,6 +14,7 @@ from treelens.functions.paths import display_name, display_path
 from treelens.functions.prompts import messages, prompt_layout
 from treelens.functions.responses import empty_summary, no_items, validate_answers
 from treelens.functions.sections import whole_text
+from treelens.operators.groups import task_count
 from treelens.operators.rollup import Directories
 
 # A summariser takes the messages of one directory and returns the raw answer.
@@ -68,7 +69,8 @@ def ask(
 
     A call that fails is repeated up to `max_retries` times, waiting twice as
     long each time. What still fails becomes an `error`; the job goes on.
-    `partitions` bounds the calls in flight. Calls cost and may differ when
+    `partitions` bounds the calls in flight; the default is one per shuffle
+    partition. Calls cost and may differ when
     repeated: write the result before using it.
     """
 
@@ -93,8 +95,7 @@ def ask(
             yield pd.DataFrame(out, columns=["root", "dir", "raw", "attempts", "error"])
 
     sent = prompted.select("root", "dir", "messages")
-    if partitions is not None:
-        sent = sent.repartition(partitions, "root", "dir")
+    sent = sent.repartition(partitions or task_count(sent), "root", "dir")
     return sent.mapInPandas(answers, ANSWERS)
 
 

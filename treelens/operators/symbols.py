@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from treelens.functions.text import content_hash, content_size, decode_source
+from treelens.operators.groups import spread_if_small
 
 METADATA = (
     "module_docstring string, functions array<string>, classes array<string>, "
@@ -100,7 +101,7 @@ def file_records(files: DataFrame, keep_source: bool = False) -> DataFrame:
 
     Select and filter the files first: nothing is pushed below the parser.
     """
-    hashed = files.select(
+    hashed = spread_if_small(files).select(
         "root",
         "path",
         "dir",
