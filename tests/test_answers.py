@@ -125,3 +125,22 @@ def test_broken_factory_is_an_error_per_row(spark):
 
     rows = by_dir(summaries_from(ask(sent(spark, "ab"), factory, 0, 0.0)))
     assert {r.error for r in rows.values()} == {"ImportError: no client"}
+
+
+def test_record_form(spark):
+    from test_rollup import made
+
+    from treelens.operators.summaries import prompts
+
+    def factory():
+        def answer(record):
+            assert record["content_hash"] and record["subdirectories"] == []
+            names = [f["relative_path"] for f in record["files"]]
+            return {"overview": record["path"], "key_symbols": names}
+
+        return answer
+
+    records = made(spark, {"d/b.py": "", "d/a.py": "def f(): ..."}).records.where("dir = 'd'")
+    [row] = summaries_from(ask(prompts(records), factory, 0, request="record")).collect()
+    assert row.error is None
+    assert row.summary.overview == "r/d" and row.summary.key_symbols == ["a.py", "b.py"]

@@ -6,7 +6,7 @@ from treelens.operators.changes import (
 
 
 def manifest(spark, rows):
-    full = [("r", d, h, datetime(2024, 1, day), gone, status, "x") for d, h, day, gone, status in rows]
+    full = [("r", d, h, datetime(2024, 1, day), gone, status, "3", "x") for d, h, day, gone, status in rows]
     return spark.createDataFrame(full, MANIFEST)
 
 

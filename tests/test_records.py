@@ -57,3 +57,24 @@ def test_directory_and_summary(spark):
     assert read(spark, records.summary_from_json, {"overview": 3, "patterns": [1, None, "x"]}) == {
         "overview": "3", "key_symbols": [], "patterns": ["1", "x"], "tribal_knowledge": []
     }
+
+
+def test_blank_directory(spark):
+    row = spark.range(1).select(records.empty_directory(F.lit("/p")).alias("r")).first().r
+    assert row.asDict() == {
+        "path": "/p", "files": [], "subdirectories": [], "summary": None,
+        "content_hash": "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
+    }
+
+
+def test_gathered_directory_to_json(spark):
+    from test_rollup import made
+
+    from treelens.operators.summaries import named
+
+    gathered = named(made(spark, {"d/m.py": "import os", "d/s/n.py": ""}).records).where("dir = 'd'")
+    sent = gathered.select(records.as_json(records.directory_struct()).alias("j")).first().j
+    back = read(spark, records.directory_from_json, json.loads(sent))
+    assert back["path"] == "r/d" and back["subdirectories"] == ["s"] and back["summary"] is None
+    assert [f["imports"] for f in back["files"]] == [["os"]]
+    assert back["files"][0]["path"] == "r/d/m.py"

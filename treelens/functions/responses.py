@@ -48,34 +48,29 @@ def clean_answer(raw: Column) -> Column:
     return F.when(text.startswith(fence), closed).otherwise(text)
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
-
-
-def _list_field(answer: Column, field: str) -> Column:
-    """The field's items as strings without nulls; [] unless it is an array."""
-    items = F.try_variant_get(answer, f"$.{field}", "array<string>")
-    return F.coalesce(F.filter(items, lambda item: item.isNotNull()), no_items())
-
-
 def validate_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add `summary`, always complete, and `parse_status` for a column of answers.
 
     The status is `ok`, `bad_json`, `not_object`, or `bad_field` when a list
     field holds something else. An empty or missing answer counts as `{}`.
+    List items become strings and nulls among them are dropped.
     """
     given = F.coalesce(F.nullif(F.col(raw), F.lit("")), F.lit("{}"))
-    parsed = df.withColumn("_answer", F.try_parse_json(clean_answer(given)))
+    cleaned = df.withColumn("_text", clean_answer(given))
+    parsed = cleaned.withColumn("_answer", F.try_parse_json("_text"))
     answer = F.col("_answer")
-    is_object = F.coalesce(_kind(answer).startswith("OBJECT"), F.lit(False))
+    # Valid JSON without blanks in front is an object exactly if it starts like one.
+    is_object = answer.isNotNull() & F.col("_text").startswith("{")
+    # An array is the only value that can be read as one.
+    lists = {f: F.try_variant_get(answer, f"$.{f}", "array<string>") for f in LIST_FIELDS}
     summary = F.struct(
         F.coalesce(F.try_variant_get(answer, "$.overview", "string"), F.lit("")).alias("overview"),
-        *(_list_field(answer, field).alias(field) for field in LIST_FIELDS),
+        *(F.coalesce(F.array_compact(lists[f]), no_items()).alias(f) for f in LIST_FIELDS),
     )
     bad_field = F.lit(False)
-    for field in LIST_FIELDS:
-        value = F.try_variant_get(answer, f"$.{field}", "variant")
-        bad_field = bad_field | F.coalesce(~_kind(value).startswith("ARRAY"), F.lit(False))
+    for f in LIST_FIELDS:
+        present = F.try_variant_get(answer, f"$.{f}", "variant").isNotNull()
+        bad_field = bad_field | (present & lists[f].isNull())
     status = (
         F.when(answer.isNull(), "bad_json")
         .when(~is_object, "not_object")
@@ -87,4 +82,4 @@ def validate_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
             "summary": F.when(is_object, summary).otherwise(empty_summary()),
             "parse_status": status,
         }
-    ).drop("_answer")
+    ).drop("_text", "_answer")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from platform import python_version
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from treelens.functions.paths import path_order
 
 MANIFEST = (
     "root string, dir string, content_hash string, generated_at timestamp, deleted boolean, "
-    "summary_status string, run_id string"
+    "summary_status string, python_version string, run_id string"
 )
 DIRECTORY = ["root", "dir"]
 
@@ -56,6 +57,8 @@ def manifest_rows(
         F.lit(at).alias("generated_at"),
         F.lit(deleted).alias("deleted"),
         "summary_status",
+        # Which sources parse depends on the grammar of the workers' Python.
+        F.lit(python_version()).alias("python_version"),
         F.lit(run_id).alias("run_id"),
     )
 

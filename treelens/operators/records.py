@@ -33,6 +33,24 @@ def file_struct(source: Column | None = None) -> Column:
     )
 
 
+def directory_struct() -> Column:
+    """A directory record that carries `path`, in its exchange shape."""
+    nothing = F.lit(None).cast("string")
+    files = F.transform(
+        "files",
+        lambda f: F.struct(
+            F.concat_ws("/", "path", f["name"]).alias("path"),
+            f["name"].alias("relative_path"),
+            f["size_bytes"].alias("size_bytes"),
+            f["content_hash"].alias("content_hash"),
+            nothing.alias("source"),
+            f["module_docstring"].alias("module_docstring"),
+            *(f[name].alias(name) for name in ("functions", "classes", "imports")),
+        ),
+    )
+    return F.struct("path", files.alias("files"), "subdirectories", "content_hash")
+
+
 def as_json(record: Column) -> Column:
     """Every field is written, nulls included."""
     return F.to_json(record, {"ignoreNullFields": "false"})
@@ -106,6 +124,17 @@ def empty_file(path: Column, relative_path: Column | None = None) -> Column:
     )
 
 
+def empty_directory(path: Column) -> Column:
+    """A blank record of a directory without files and without a summary."""
+    return F.struct(
+        path.alias("path"),
+        F.array().cast(f"array<struct<{FILE}>>").alias("files"),
+        no_items().alias("subdirectories"),
+        F.sha2(F.lit(""), 256).alias("content_hash"),
+        F.lit(None).cast(SUMMARY).alias("summary"),
+    )
+
+
 def file_flags(records: DataFrame) -> DataFrame:
     """Add `is_empty` and `symbol_count` to file records."""
     nothing = F.col("module_docstring").isNull()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import replace
@@ -15,10 +16,12 @@ from treelens.functions.prompts import messages, prompt_layout
 from treelens.functions.responses import empty_summary, no_items, validate_answers
 from treelens.functions.sections import whole_text
 from treelens.operators.groups import task_count
+from treelens.operators.records import as_json, directory_struct
 from treelens.operators.rollup import Directories
 
-# A summariser takes the messages of one directory and returns the raw answer.
-Summarizer = Callable[[list[dict]], str | None]
+# A summariser takes the messages of one directory, or its record as a dict, and
+# returns the raw answer, or a dict with the fields of one.
+Summarizer = Callable[[list[dict] | dict], str | dict | None]
 # Called once per partition, on its first row.
 SummarizerFactory = Callable[[], Summarizer]
 
@@ -50,11 +53,12 @@ def extractive_summary(records: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def prompts(records: DataFrame) -> DataFrame:
-    """Add `prompt` and `messages` to directory records."""
+    """Add `prompt`, `messages` and the `record` as JSON to directory records."""
     return (
         named(records)
         .withColumn("prompt", whole_text(prompt_layout()))
         .withColumn("messages", messages(F.col("prompt")))
+        .withColumn("record", as_json(directory_struct()))
     )
 
 
@@ -64,37 +68,47 @@ def ask(
     max_retries: int = 2,
     retry_delay: float = 1.0,
     partitions: int | None = None,
+    request: str = "messages",
 ) -> DataFrame:
-    """Answers for rows of `root`, `dir`, `messages`.
+    """Answers for rows of `root`, `dir` and the `request`: `messages` or `record`.
 
     A call that fails is repeated up to `max_retries` times, waiting twice as
     long each time. What still fails becomes an `error`; the job goes on.
     `partitions` bounds the calls in flight; the default is one per shuffle
-    partition. Calls cost and may differ when
-    repeated: write the result before using it.
+    partition. Calls cost and may differ when repeated: write the result before
+    using it.
     """
 
+    def attempt_all(get: Callable[[], Summarizer], sent: object) -> tuple:
+        error = None
+        for attempt in range(1, max_retries + 2):
+            try:
+                answer = get()(sent)
+                raw = json.dumps(answer) if isinstance(answer, dict) else answer
+                return raw, attempt, None
+            except Exception as failure:
+                error = f"{type(failure).__name__}: {failure}"
+            if attempt <= max_retries:
+                time.sleep(retry_delay * 2 ** (attempt - 1))
+        return None, max_retries + 1, error
+
     def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        summarizer = None
+        made: list[Summarizer] = []
+
+        def get() -> Summarizer:
+            if not made:
+                made.append(factory())
+            return made[0]
+
         for batch in batches:
-            out = []
-            for root, directory, sent in zip(batch["root"], batch["dir"], batch["messages"]):
-                raw, error, attempts = None, None, 0
-                while attempts <= max_retries:
-                    attempts += 1
-                    try:
-                        if summarizer is None:
-                            summarizer = factory()
-                        raw, error = summarizer([dict(message) for message in sent]), None
-                        break
-                    except Exception as failure:
-                        error = f"{type(failure).__name__}: {failure}"
-                    if attempts <= max_retries:
-                        time.sleep(retry_delay * 2 ** (attempts - 1))
-                out.append((root, directory, raw, attempts, error))
+            out = [
+                (root, directory, *attempt_all(get, json.loads(sent)))
+                for root, directory, sent in zip(batch["root"], batch["dir"], batch["sent"])
+            ]
             yield pd.DataFrame(out, columns=["root", "dir", "raw", "attempts", "error"])
 
-    sent = prompted.select("root", "dir", "messages")
+    asked = F.col(request) if request == "record" else F.to_json(request)
+    sent = prompted.select("root", "dir", asked.alias("sent"))
     sent = sent.repartition(partitions or task_count(sent), "root", "dir")
     return sent.mapInPandas(answers, ANSWERS)
 

@@ -121,7 +121,7 @@ def _manifest(hashes: DataFrame) -> DataFrame:
     older = hashes.select(
         "root", "dir", F.lit("old").alias("content_hash"),
         F.lit(datetime(2024, 1, 1)).alias("generated_at"), F.lit(False).alias("deleted"),
-        F.lit("ok").alias("summary_status"), F.lit("r1").alias("run_id"),
+        F.lit("ok").alias("summary_status"), F.lit("3").alias("python_version"), F.lit("r1").alias("run_id"),
     )
     newer = hashes.where(size % 11 != 0).select(
         "root", "dir",
@@ -129,7 +129,7 @@ def _manifest(hashes: DataFrame) -> DataFrame:
         .alias("content_hash"),
         F.lit(datetime(2024, 1, 2)).alias("generated_at"), (size % 5 == 0).alias("deleted"),
         F.when(size % 3 == 0, "failed").otherwise("ok").alias("summary_status"),
-        F.lit("r2").alias("run_id"),
+        F.lit("3").alias("python_version"), F.lit("r2").alias("run_id"),
     )
     return older.unionByName(newer)
 
