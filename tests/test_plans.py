@@ -30,8 +30,15 @@ def test_sources_are_parsed_once(files, use):
     assert plan(use(file_records(with_path_parts(files)))).count("ArrowEvalPython") == 1
 
 
-def test_parsing_does_not_shuffle(files):
-    assert "Exchange" not in plan(file_records(with_path_parts(files)))
+def test_parsing_shuffles_only_inputs_too_small_to_split(spark, files):
+    setting = "spark.sql.files.maxPartitionBytes"
+    assert "RoundRobin" in plan(file_records(with_path_parts(files)))
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "64b")
+    try:
+        assert "Exchange" not in plan(file_records(with_path_parts(files)))
+    finally:
+        spark.conf.set(setting, before)
 
 
 def test_listing_does_not_read_contents(files):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from treelens.operators.groups import Limits, Split, in_ranges, split_by_size
 from treelens.operators.symbols import ordered_union, symbols
+from treelens.operators.workspace import written
 
 DIRECTORY = ["root", "dir"]
 LISTS = ["all_functions", "all_classes", "all_imports", "subdirectories"]
@@ -161,12 +162,15 @@ def directory_records(
     roots: DataFrame,
     limits: Limits = Limits(),
     sizes: DataFrame | None = None,
+    save: Callable[[DataFrame, str], DataFrame] = written,
 ) -> Directories:
     """One record per directory that holds files, and per root.
 
     `files` are file records, `children` the listed child directories. Members
     of both kinds share one shuffle. `sizes` may name a cheaper frame of
-    members (`root`, `dir`, `size_bytes`) to measure the directories on.
+    members (`root`, `dir`, `size_bytes`) to measure the directories on. What
+    is derived for directories beyond the limits is used many times, so it is
+    kept with `save`; nothing is saved if there are none.
     """
     members = with_roots(
         files.select(*DIRECTORY, *_FILE).unionByName(
@@ -197,7 +201,7 @@ def directory_records(
     )
     if split.oversized is None:
         return Directories(records)
-    return _large_directories(records, split)
+    return _large_directories(records, replace(split, oversized=save(split.oversized, "large")), save)
 
 
 def _with_counts(records: DataFrame) -> DataFrame:
@@ -206,7 +210,9 @@ def _with_counts(records: DataFrame) -> DataFrame:
     return records.withColumns(counts | leading)
 
 
-def _large_directories(records: DataFrame, split: Split) -> Directories:
+def _large_directories(
+    records: DataFrame, split: Split, save: Callable[[DataFrame, str], DataFrame]
+) -> Directories:
     members = split.oversized
     files = members.where(F.col("name").isNotNull()).drop("child")
     names = symbols(files.withColumn("path", F.col("name")))
@@ -233,7 +239,7 @@ def _large_directories(records: DataFrame, split: Split) -> Directories:
         )
         .distinct()
     )
-    lists = unions.unionByName(children)
+    lists = save(unions.unionByName(children), "lists")
 
     totals = members.groupBy(*DIRECTORY).agg(*_totals(), *_kept())
     digests = _streamed_hashes(split)
@@ -268,5 +274,5 @@ def _large_directories(records: DataFrame, split: Split) -> Directories:
         for name in LISTS
     }
     digest = F.coalesce("content_hash", combined_hash(F.array().cast("array<string>")))
-    heads = heads.withColumns(filled | {"content_hash": digest})
+    heads = save(heads.withColumns(filled | {"content_hash": digest}), "heads")
     return Directories(records, heads, files, lists, split.ranges)
