@@ -24,7 +24,7 @@ def _lines(text: str) -> str:
 PATH_PARTS = """
     CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir,
     string_split(path, '/')[-1] AS name,
-    len(string_split(path, '/')) - 1 AS depth"""
+    CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth"""
 
 DOCS = f"docs AS (SELECT 'docs' AS root, {DOC_PATH} AS path, text AS content FROM documents)"
 PAGES = """web_ranked AS (
@@ -60,7 +60,7 @@ RECORDS = f"""records AS (
 
 SYMBOLS = """symbols AS (
     SELECT root, path, dir, name, kind, unnest(items) AS symbol,
-        generate_subscripts(items, 1) - 1 AS ordinal
+        CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS ordinal
     FROM (SELECT root, path, dir, name, 'function' AS kind, functions AS items FROM records
         UNION ALL SELECT root, path, dir, name, 'class', classes FROM records
         UNION ALL SELECT root, path, dir, name, 'import', imports FROM records))"""
@@ -254,7 +254,8 @@ ORACLE: dict[str, str] = {
         WHEN name LIKE '7%' THEN true
         WHEN name LIKE '%5.html' THEN true
         ELSE false END""",
-    "record_flags": f"""WITH {RECORDS} SELECT path, len(functions) + len(classes) AS symbol_count,
+    "record_flags": f"""WITH {RECORDS} SELECT path,
+    CAST(len(functions) + len(classes) AS INTEGER) AS symbol_count,
     module_docstring IS NULL AND len(functions) + len(classes) = 0 AS is_empty FROM records""",
     "preview_one": f"""WITH {WITH_SUMMARY}
     SELECT root, dir, markdown FROM documents_ WHERE dir = 'brand_7/small'""",
@@ -263,7 +264,7 @@ ORACLE: dict[str, str] = {
     "decode_text": """WITH decoded AS (SELECT doc_id, CASE WHEN doc_id % 4 = 3
         THEN regexp_replace(text, '[^\\x{00}-\\x{ff}]', '?', 'g') ELSE text END AS text
         FROM documents)
-    SELECT doc_id, length(text) AS characters, sha256(text) AS text_hash FROM decoded""",
+    SELECT doc_id, CAST(length(text) AS INTEGER) AS characters, sha256(text) AS text_hash FROM decoded""",
     "path_parts": f"WITH {ALL} SELECT root, path, {PATH_PARTS} FROM corpus",
     "json_roundtrip": f"""WITH {RECORDS} SELECT path, CAST(json_object(
         'path', 'code/' || path, 'relative_path', name, 'size_bytes', size_bytes,
@@ -361,11 +362,11 @@ ORACLE: dict[str, str] = {
     (SELECT string_agg(concat('* ', name, chr(10)), '' ORDER BY name) FROM records r
         WHERE r.dir = d.dir), '<!-- content-hash: ', content_hash, ' -->') AS markdown FROM dirs d""",
     "summarize_udf": f"""WITH {PROMPTS} SELECT root, dir, concat(path, ' ', length(prompt)) AS overview,
-    concat(path, ',1') AS key_symbols, 'ok' AS summary_status, 1 AS attempts, NULL AS error
+    concat(path, ',1') AS key_symbols, 'ok' AS summary_status, 1 AS attempts, CAST(NULL AS VARCHAR) AS error
     FROM prompts""",
     "summarize_retry": f"""WITH {PROMPTS} SELECT root, dir,
     concat(path, ' ', length(prompt)) AS overview, concat(path, ',1') AS key_symbols,
-    'ok' AS summary_status, 2 AS attempts, NULL AS error FROM prompts""",
+    'ok' AS summary_status, 2 AS attempts, CAST(NULL AS VARCHAR) AS error FROM prompts""",
     "summarize_errors": f"""WITH {PROMPTS}, judged AS (
         SELECT *, length(prompt) % 3 = 0 AS refused FROM prompts)
     SELECT root, dir, CASE WHEN refused THEN '' ELSE concat(path, ' ', length(prompt)) END AS overview,
@@ -376,7 +377,7 @@ ORACLE: dict[str, str] = {
     "incremental_write": f"""WITH {CODE_DIRS},
     touched AS (SELECT count(DISTINCT dir) AS n FROM records WHERE path LIKE '%97.py'),
     every AS (SELECT count(*) AS n FROM dirs)
-    SELECT 1 AS run, n AS written, 0 AS skipped, 0 AS errors FROM every
+    SELECT 1 AS run, n AS written, 0 AS skipped, CAST(0 AS BIGINT) AS errors FROM every
     UNION ALL SELECT 2, 0, n, 0 FROM every
     UNION ALL SELECT 3, t.n, e.n - t.n, 0 FROM every e, touched t""",
     "export_documents": f"""WITH {WITH_SUMMARY}
