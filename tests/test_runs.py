@@ -7,9 +7,9 @@ from test_symbols import corpus
 
 from treelens.functions.text import stored_hash
 from treelens.operators.groups import Limits
-from treelens.operators.sinks import Store, export_documents
+from treelens.operators.sinks import Store, export_documents, remove_exported
 from treelens.operators.workspace import new_folder
-from treelens.plans.runs import generate, preview, purge
+from treelens.plans.runs import adopt, generate, preview, purge
 from treelens.sources.corpus import TableCorpus, TreeCorpus
 from pyspark.sql import functions as F
 
@@ -158,6 +158,16 @@ def test_tree_to_files_and_incremental(spark, store, tmp_path):
     assert {r.path for r in exported} == {"CONTEXT.md", "pkg/CONTEXT.md", "pkg/deep/CONTEXT.md"}
     written_text = (target / root.strip("/") / "pkg" / "CONTEXT.md").read_text()
     assert written_text == texts(spark, store)["pkg"]
+    spread = Store(new_folder(spark, "store"))
+    export_documents(store.documents(spark), "/").collect()
+    assert (tmp_path / "pkg" / "CONTEXT.md").read_text() == texts(spark, store)["pkg"]
+    # Documents next to the sources count for a new store, once it has taken them over.
+    assert {r.dir for r in adopt(scan(), spread).collect()} >= {"", "pkg", "pkg/deep"}
+    assert counts(generate(scan(), spread, ignore=["out", "build"])) == (0, 3, 0)
+    gone = remove_exported(purge(spread, spark, root), "/").collect()
+    # The copies below `out` are documents under this root as well.
+    assert len(gone) == 6 and all(r.error is None for r in gone)
+    assert not list(tmp_path.rglob("CONTEXT.md")) and not (tmp_path / "pkg" / "CONTEXT.md").exists()
     assert not [f for f in os.listdir(target / root.strip("/")) if f.endswith(".part")]
     target_free = scan()
     assert counts(generate(target_free, store, ignore=["out", "build"])) == (0, 3, 0)

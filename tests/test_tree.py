@@ -85,3 +85,13 @@ def test_several_roots(spark, tree):
     assert {r.root for r in corpus.roots.collect()} == {tree, tree + "/sub"}
     names = brute.directories({p: "" for p in FILES})
     assert {r.dir for r in corpus.directories.where(F.col("root") == tree).collect()} >= set(names)
+
+
+def test_undecodable_names_are_reported(spark, tmp_path):
+    with open(os.path.join(os.fsencode(str(tmp_path)), b"bad\xff.py"), "wb"):
+        pass
+    (tmp_path / "good.py").write_text("")
+    corpus = TreeCorpus(spark, (str(tmp_path),))
+    assert [r.path for r in corpus.listing.collect()] == ["good.py"]
+    [row] = corpus.rejects.collect()
+    assert row.path == "bad\\udcff.py" and "UTF-8" in row.read_error

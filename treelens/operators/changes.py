@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.functions.paths import path_order
+from treelens.functions.text import decode_source, stored_hash
 
 MANIFEST = (
     "root string, dir string, content_hash string, generated_at timestamp, deleted boolean, "
@@ -63,6 +64,19 @@ def manifest_rows(
     )
 
 
+def manifest_of_documents(
+    files: DataFrame, run_id: str, at: datetime, label: str = "content-hash"
+) -> DataFrame:
+    """Manifest rows for documents that exist as files, from the hash in their first line.
+
+    Takes rows with `root`, `dir` and `content`; files without a hash are left out.
+    """
+    digest = stored_hash(decode_source(F.col("content")), label)
+    found = files.select(*DIRECTORY, digest.alias("content_hash"))
+    found = found.where(F.col("content_hash").isNotNull())
+    return manifest_rows(found.withColumn("summary_status", F.lit("imported")), run_id, at)
+
+
 def purge_listing(current: DataFrame, root: str | None = None, below: str = "") -> DataFrame:
     """Directories whose documents a purge removes, in path order."""
     listed = current

@@ -68,6 +68,32 @@ def export_documents(
     )
 
 
+def remove_exported(
+    listed: DataFrame, folder: str, file_name: str = DOCUMENT_NAME
+) -> DataFrame:
+    """Delete the exported documents of listed directories (`root`, `dir`).
+
+    Returns one row per directory with the error, if any; running it deletes. A
+    file that is already gone is no error, so a repeated task is harmless.
+    """
+    base = folder.removeprefix("file:")
+
+    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            errors = []
+            for root, directory in zip(batch["root"], batch["dir"]):
+                try:
+                    os.unlink(os.path.join(base, root.strip("/"), directory, file_name))
+                    errors.append(None)
+                except FileNotFoundError:
+                    errors.append(None)
+                except OSError as failure:
+                    errors.append(str(failure))
+            yield batch.assign(error=pd.Series(errors, dtype=object))
+
+    return listed.select("root", "dir").mapInPandas(remove, "root string, dir string, error string")
+
+
 def export_files(texts: DataFrame, folder: str) -> DataFrame:
     """Write texts (`root`, `path`, `section`, `start`, `markdown`) as UTF-8 files.
 

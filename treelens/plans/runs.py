@@ -1,4 +1,4 @@
-"""Whole runs: generate, preview, purge."""
+"""Whole runs: generate, preview, adopt, purge."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.functions.ignore import DEFAULT_IGNORE, IgnoreRules
+from treelens.functions.ignore import DEFAULT_IGNORE, DOCUMENT_NAME, IgnoreRules
 from treelens.functions.markdown import document_layout
 from treelens.functions.paths import SOURCE_SUFFIX
 from treelens.functions.sections import Layout
@@ -18,6 +18,7 @@ from treelens.functions.text import content_hash, content_size
 from treelens.operators.changes import (
     change_status,
     current_manifest,
+    manifest_of_documents,
     manifest_rows,
     purge_listing,
     run_summary,
@@ -46,6 +47,12 @@ class Run:
     counts: DataFrame
 
 
+def _started(at: datetime | None) -> tuple[datetime, str]:
+    """Time and id of a run."""
+    at = at or datetime.now(timezone.utc)
+    return at, at.strftime("%Y%m%dT%H%M%S%f") + "-" + uuid4().hex[:8]
+
+
 def hashed_files(corpus: Corpus, rules: IgnoreRules, max_depth: int | None, suffix: str) -> DataFrame:
     """Members of all directories with size and hash; their bytes are read and dropped."""
     rows = corpus.contents([is_member(rules, suffix), reached(rules, max_depth)])
@@ -83,12 +90,12 @@ def generate(
     shortened, and writes nothing to the store.
     """
     spark, rules = corpus.spark, IgnoreRules.of(ignore)
-    at = at or datetime.now(timezone.utc)
-    run_id = at.strftime("%Y%m%dT%H%M%S%f") + "-" + uuid4().hex[:8]
+    at, run_id = _started(at)
 
     hashed = written(hashed_files(corpus, rules, max_depth, suffix), "hashed")
     readable = hashed.where(F.col("read_error").isNull())
-    rejects = hashed.where(F.col("read_error").isNotNull()).select("root", "path", "read_error")
+    unread = hashed.where(F.col("read_error").isNotNull()).select("root", "path", "read_error")
+    rejects = corpus.rejects.unionByName(unread)
     hashes = directory_hashes(with_roots(readable, corpus.roots), limits)
     known = current_manifest(store.manifest(spark))
     status = change_status(hashes, known, force or dry_run, retry_failed)
@@ -162,6 +169,26 @@ def preview(
     return render(directories, utc_stamp(at), layout)
 
 
+def adopt(
+    corpus: Corpus,
+    store: Store,
+    *,
+    label: str = "content-hash",
+    file_name: str = DOCUMENT_NAME,
+    at: datetime | None = None,
+) -> DataFrame:
+    """Take over documents that lie in the corpus as files, so that they count as written.
+
+    Looks everywhere, whatever the patterns of later runs. Their texts stay
+    where they are; returns the manifest rows.
+    """
+    spark = corpus.spark
+    at, run_id = _started(at)
+    files = corpus.contents([F.col("name") == file_name]).where(F.col("read_error").isNull())
+    store.append(manifest_of_documents(files, run_id, at, label), "manifest", run_id)
+    return store.manifest(spark).where(F.col("run_id") == run_id)
+
+
 def purge(
     store: Store,
     spark: SparkSession,
@@ -170,8 +197,7 @@ def purge(
     at: datetime | None = None,
 ) -> DataFrame:
     """Remove the documents below a directory by marking them deleted; returns the list."""
-    at = at or datetime.now(timezone.utc)
-    run_id = at.strftime("%Y%m%dT%H%M%S%f") + "-" + uuid4().hex[:8]
+    at, run_id = _started(at)
     listed = written(purge_listing(current_manifest(store.manifest(spark)), root, below), "purge")
     store.append(manifest_rows(listed, run_id, at, deleted=True), "manifest", run_id)
     return listed.select("root", "dir")

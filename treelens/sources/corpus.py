@@ -15,6 +15,7 @@ from treelens.sources.tree import DEFAULT_MAX_BYTES, list_trees, read_contents
 
 # A set of directories up to this size is sent to every task as a filter.
 MAX_BROADCAST_DIRECTORIES = 500_000
+REJECTS = "root string, path string, read_error string"
 
 
 def corpus_from_table(
@@ -52,6 +53,10 @@ class TableCorpus:
     def roots(self) -> DataFrame:
         return self.listing.select("root").distinct()
 
+    @property
+    def rejects(self) -> DataFrame:
+        return self.spark.createDataFrame([], REJECTS)
+
     def contents(
         self, keep: list[Column], directories: DataFrame | None = None, count: int = 0
     ) -> DataFrame:
@@ -97,6 +102,11 @@ class TreeCorpus:
     def roots(self) -> DataFrame:
         return self.directories.where(F.col("dir") == "").select("root")
 
+    @property
+    def rejects(self) -> DataFrame:
+        """What could not be listed."""
+        return self.entries.where(F.col("kind") == "error").select("root", "path", "read_error")
+
     def contents(
         self, keep: list[Column], directories: DataFrame | None = None, count: int = 0
     ) -> DataFrame:

@@ -97,6 +97,11 @@ class TreeReader(DataSourceReader):
 
     @staticmethod
     def _entry(entry: os.DirEntry, root: str, path: str) -> tuple:
+        try:
+            path.encode()
+        except UnicodeEncodeError:
+            shown = path.encode(errors="backslashreplace").decode()
+            return ("error", root, shown, None, "name is not valid UTF-8")
         try:
             if entry.is_dir(follow_symlinks=False):
                 return ("dir", root, path, None, None)
