@@ -108,6 +108,16 @@ def test_results_do_not_depend_on_partitioning(spark):
     assert one == many
 
 
+def test_too_many_large_directories_to_list(spark, monkeypatch):
+    from treelens.operators import groups
+
+    files = {f"d{n % 9}/m{n}.py": f"x = {n}" for n in range(60)}
+    monkeypatch.setattr(groups, "MAX_LISTED", 2)
+    rows = file_records(corpus(spark, files))
+    found = {r.dir: r.content_hash for r in directory_hashes(rows, Limits(rows=6)).collect()}
+    assert found == {f"d{n}": brute.directory_hash(files, f"d{n}") for n in range(9)}
+
+
 def test_byte_limit_sets_directories_apart(spark):
     files = {"big/a.py": "x = '" + "y" * 500 + "'", "small/a.py": "x"}
     split = made(spark, files, Limits(bytes=100))

@@ -296,6 +296,10 @@ ORACLE: dict[str, str] = {
     WHERE NOT EXISTS (SELECT 1 FROM dirs d WHERE d.root = c.root AND d.dir = '')""",
     "ordered_union": f"WITH {RECORDS}, {SYMBOLS}, {UNIONS} SELECT * FROM unions",
     "dir_hash": f"WITH {DOCS}, {_hashed('docs')}, {DIRS} SELECT root, dir, content_hash FROM dirs",
+    "dir_hash_large": f"""WITH {DOCS}, {_hashed('docs')}, {DIRS}
+    SELECT root, dir, content_hash FROM dirs""",
+    "manifest_import": """SELECT 'docs' AS root, concat(source, '/', doc_id) AS dir,
+    sha256(text) AS content_hash, 'imported' AS summary_status FROM documents WHERE doc_id % 3 = 0""",
     "subdirectories": f"""WITH {ALL},
     every AS (SELECT DISTINCT root, {PATH_PARTS} FROM corpus),
     nested AS (SELECT root, string_split(dir, '/') AS parts FROM every WHERE dir <> ''),
@@ -357,6 +361,8 @@ ORACLE: dict[str, str] = {
     array_to_string(key_symbols, ',') AS key_symbols, '' AS patterns, '' AS tribal_knowledge
     FROM summarized""",
     "render_document": f"WITH {WITH_SUMMARY} SELECT root, dir, content_hash, markdown FROM documents_",
+    "render_large": f"""WITH {WITH_SUMMARY} SELECT root, dir, content_hash,
+    length(markdown) AS characters FROM documents_""",
     "render_no_summary": f"WITH {NO_SUMMARY} SELECT root, dir, content_hash, markdown FROM documents_",
     "render_custom": f"""WITH {CODE_DIRS} SELECT root, dir, concat('= ', dir_name, ' =', chr(10),
     (SELECT string_agg(concat('* ', name, chr(10)), '' ORDER BY name) FROM records r

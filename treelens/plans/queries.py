@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from treelens.functions.ignore import IgnoreRules
 from treelens.functions.paths import dir_of, has_suffix, within_depth
+from treelens.functions.responses import validate_answers
 from treelens.functions.sections import Section, for_each
 from treelens.functions.text import (
     content_hash,
@@ -25,9 +26,11 @@ from treelens.functions.text import (
 from treelens.operators.changes import (
     change_status,
     current_manifest,
+    manifest_of_documents,
     purge_listing,
     run_summary,
 )
+from treelens.operators.groups import Limits
 from treelens.operators.listing import (
     child_directories,
     directories_of,
@@ -60,7 +63,6 @@ from treelens.operators.symbols import ordered_union as union_of
 from treelens.operators.symbols import parse_failures as failures_of
 from treelens.operators.symbols import symbols
 from treelens.operators.workspace import new_folder, written
-from treelens.functions.responses import validate_answers
 from treelens.plans import runs, views
 from treelens.sources.corpus import TableCorpus
 from treelens.sources.tree import list_trees, read_contents
@@ -104,13 +106,16 @@ def _all_corpora(spark: SparkSession, folder: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
-def _directories(spark: SparkSession, folder: str) -> Directories:
+def _directories(
+    spark: SparkSession, folder: str, limits: Limits = Limits()
+) -> Directories:
     """Directory records of the code corpus."""
     listing = _paths(views.code(spark, folder))
     return directory_records(
         _code_records(spark, folder),
         child_directories(directories_of(listing), IgnoreRules()),
         listing.select("root").distinct(),
+        limits,
         sizes=listing.withColumn("size_bytes", F.lit(0)),
     )
 
@@ -198,6 +203,20 @@ def stored_hash_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", stored_hash(document).alias("stored_hash"))
 
 
+@query
+def manifest_import(spark: SparkSession, folder: str) -> DataFrame:
+    """Earlier documents, known by the hash in their first line."""
+    rows = views.table(spark, folder, "documents").select("doc_id", "source", "text")
+    first = F.when(F.col("doc_id") % 3 == 0, hash_line(F.sha2("text", 256))).otherwise("# none")
+    files = rows.select(
+        F.lit("docs").alias("root"),
+        F.concat_ws("/", "source", "doc_id").alias("dir"),
+        F.encode(F.concat(first, F.lit("\n"), "text"), "UTF-8").alias("content"),
+    )
+    imported = manifest_of_documents(files, "r0", datetime(2024, 1, 1))
+    return imported.select("root", "dir", "content_hash", "summary_status")
+
+
 # Filters
 
 
@@ -374,6 +393,13 @@ def dir_hash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def dir_hash_large(spark: SparkSession, folder: str) -> DataFrame:
+    """The same hashes when almost every directory is beyond the limits."""
+    hashed = _hashed(views.docs(spark, folder))
+    return directory_hashes(hashed, Limits(rows=3)).select("root", "dir", "content_hash")
+
+
 @query
 def subdirectories(spark: SparkSession, folder: str) -> DataFrame:
     listing = _paths(_all_corpora(spark, folder))
@@ -493,6 +519,15 @@ def render_document(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("root", "dir", "content_hash", "markdown")
 
 
+@query
+def render_large(spark: SparkSession, folder: str) -> DataFrame:
+    """Length of documents when many are beyond the limits and come in several rows."""
+    directories = summarize(_directories(spark, folder, Limits(rows=16)), "extractive")
+    return render(directories, STAMP).groupBy("root", "dir", "content_hash").agg(
+        F.sum(F.char_length("markdown")).alias("characters")
+    )
+
+
 @query
 def render_no_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder, "none").select("root", "dir", "content_hash", "markdown")
