@@ -2,8 +2,8 @@
 
 One directory may hold a third of all files. Gathering a group into an array is
 therefore only done for groups proven to be within `Limits`; the rows of the
-others are cut into consecutive ranges of their order by Spark's range
-partitioning, and each range is gathered on its own. Nothing is left out.
+others are sorted over all tasks by Spark's range partitioning and cut into
+consecutive pieces, and each piece is gathered on its own. Nothing is left out.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 # At most this many large groups are named in a broadcast filter.
 MAX_LISTED = 50_000
+PIECES_PER_TASK = 16
 
 
 @dataclass(frozen=True)
@@ -27,13 +28,21 @@ class Limits:
     bytes: int = 64 << 20
 
 
+@dataclass(frozen=True)
+class Cut:
+    """How to cut large groups: rows per piece, and range partitions to sort in."""
+
+    rows: int
+    ranges: int
+
+
 @dataclass(frozen=True)
 class Split:
     """Rows of the groups within the limits, and rows of the others."""
 
     bounded: DataFrame
     oversized: DataFrame | None
-    ranges: int = 0
+    cut: Cut | None = None
 
 
 def split_by_size(
@@ -66,18 +75,26 @@ def split_by_size(
     else:
         rows, weights = large.agg(F.sum("n"), F.sum("w")).first()
         names = large.select(*keys)
-    # Several ranges per group's worth of rows leaves room for uneven samples.
-    ranges = 4 * ceil(max(rows / limits.rows, weights / limits.bytes, 1))
+    pieces = ceil(max(rows / limits.rows, weights / limits.bytes))
+    ranges = min(pieces, max(task_count(df), ceil(pieces / PIECES_PER_TASK)))
     return Split(
         df.join(names, list(keys), "left_anti"),
         df.join(names, list(keys), "left_semi"),
-        ranges,
+        Cut(ceil(rows / pieces), ranges),
     )
 
 
-def in_ranges(df: DataFrame, order: Sequence[str], ranges: int) -> DataFrame:
-    """Add `chunk`, the number of the range of `order` that a row falls into."""
-    return df.repartitionByRange(ranges, *order).withColumn("chunk", F.spark_partition_id())
+def in_pieces(df: DataFrame, order: Sequence[str], cut: Cut) -> DataFrame:
+    """Add `piece`: consecutive rows in `order` share one, at most `cut.rows` of them.
+
+    Pieces sort like their rows. Range partitioning spreads a group over tasks
+    by a sample; the row's place in its sorted partition gives the exact cut.
+    """
+    spread = df.repartitionByRange(cut.ranges, *order).sortWithinPartitions(*order)
+    row = spread.withColumn("_row", F.monotonically_increasing_id())
+    # The lower 33 bits count the rows of a partition.
+    place = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    return row.withColumn("piece", F.col("_row") - place % cut.rows).drop("_row")
 
 
 def spread_if_small(df: DataFrame) -> DataFrame:

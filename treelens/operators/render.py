@@ -12,7 +12,7 @@ from treelens.functions.markdown import document_layout
 from treelens.functions.responses import has_content
 from treelens.functions.sections import Layout, Section, sections_of, whole_text
 from treelens.functions.text import hash_line
-from treelens.operators.groups import in_ranges
+from treelens.operators.groups import in_pieces
 from treelens.operators.rollup import Directories
 from treelens.operators.summaries import named
 
@@ -103,9 +103,9 @@ def _pieces(directories: Directories, heads: DataFrame, section: Section) -> Dat
         if section.over == "files"
         else F.min(F.concat("at_file", F.lit("\x00"), F.lpad(F.col("at").cast("string"), 10, "0")))
     )
-    ranges = in_ranges(rows, [*DIRECTORY, *order], directories.ranges)
-    chunks = ranges.groupBy(*DIRECTORY, "chunk").agg(start.alias("start"), gathered)
-    return chunks.join(heads, DIRECTORY).withColumn("is_first", is_first)
+    pieces = in_pieces(rows, [*DIRECTORY, *order], directories.cut)
+    texts = pieces.groupBy(*DIRECTORY, "piece").agg(start.alias("start"), gathered)
+    return texts.join(heads, DIRECTORY).withColumn("is_first", is_first)
 
 
 def render_column(

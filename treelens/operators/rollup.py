@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treelens.operators.groups import Limits, Split, in_ranges, split_by_size
+from treelens.operators.groups import Cut, Limits, Split, in_pieces, split_by_size
 from treelens.operators.symbols import ordered_union, symbols
 from treelens.operators.workspace import written
 
@@ -91,14 +91,14 @@ def _streamed_hashes(split: Split) -> DataFrame:
     what reaches the last step is 32 bytes per member in packed rows.
     """
     named = split.oversized.where(F.col("name").isNotNull())
-    ranges = in_ranges(named, [*DIRECTORY, "name"], split.ranges)
-    sorted_ranges = ranges.groupBy(*DIRECTORY, "chunk").agg(
+    pieces = in_pieces(named, [*DIRECTORY, "name"], split.cut)
+    gathered = pieces.groupBy(*DIRECTORY, "piece").agg(
         _in_name_order("name", "content_hash").alias("files")
     )
     starts = F.sequence(F.lit(1), F.size("files"), F.lit(_DIGESTS_PER_ROW))
-    packed = sorted_ranges.select(
+    packed = gathered.select(
         *DIRECTORY,
-        "chunk",
+        "piece",
         F.posexplode(
             F.transform(
                 starts,
@@ -110,7 +110,7 @@ def _streamed_hashes(split: Split) -> DataFrame:
             )
         ).alias("at", "digests"),
     )
-    in_order = packed.repartition(*DIRECTORY).sortWithinPartitions(*DIRECTORY, "chunk", "at")
+    in_order = packed.repartition(*DIRECTORY).sortWithinPartitions(*DIRECTORY, "piece", "at")
     return in_order.select(*DIRECTORY, "digests").mapInPandas(
         _hash_in_order, "root string, dir string, content_hash string"
     )
@@ -148,7 +148,7 @@ class Directories:
     heads: DataFrame | None = None
     files: DataFrame | None = None
     lists: DataFrame | None = None
-    ranges: int = 0
+    cut: Cut | None = None
 
     def each(self, step: Callable[[DataFrame], DataFrame]) -> Directories:
         """Apply a row-wise step to the records and the heads."""
@@ -275,4 +275,4 @@ def _large_directories(
     }
     digest = F.coalesce("content_hash", combined_hash(F.array().cast("array<string>")))
     heads = save(heads.withColumns(filled | {"content_hash": digest}), "heads")
-    return Directories(records, heads, files, lists, split.ranges)
+    return Directories(records, heads, files, lists, split.cut)
