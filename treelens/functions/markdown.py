@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from treelens.functions.ignore import DOCUMENT_NAME
 from treelens.functions.sections import Section, for_each, joined_or, text_if
 
+# Headings of the document format, and what stands in for empty parts.
+OVERVIEW = "## Overview"
+SOURCE_FILES = "## Source Files"
+FILE_TABLE = "| File | Size | Functions | Classes |\n|------|------|-----------|---------|\n"
+FILE_DETAILS = "### File Details"
+KEY_SYMBOLS = "## Key Symbols"
+DEPENDENCIES = "## Dependencies"
+PATTERNS = "## Non-Obvious Patterns"
+TRIBAL_KNOWLEDGE = "## Tribal Knowledge"
+SUBDIRECTORIES = "## Subdirectories"
+NO_OVERVIEW = "*No summary available for this directory.*"
+NO_FILES = "*No source files directly in this directory.*"
+NO_DOCSTRING = "*No module docstring.*"
+NO_SYMBOLS = "*No symbols found.*"
+ALL_SYMBOLS = "*No key symbols summarised; all extracted symbols:*"
+NO_IMPORTS = "*No imports detected.*"
+NO_PATTERNS = "*No patterns identified.*"
+NO_TRIBAL_KNOWLEDGE = "*No tribal knowledge recorded.*"
+NO_SUBDIRECTORIES = "*No subdirectories.*"
+NO_NAMES = "—"
+
 RULE = "\n---\n\n"
 
 
@@ -24,14 +45,14 @@ def _line_of(label: str, names: Column) -> Column:
 def _file_row(file: Column) -> Column:
     return F.concat(
         F.lit("| `"), file["name"], F.lit("` | "), file["size_bytes"].cast("string"), F.lit(" B | "),
-        joined_or(file["functions"], ", ", "—"), F.lit(" | "),
-        joined_or(file["classes"], ", ", "—"), F.lit(" |\n"),
+        joined_or(file["functions"], ", ", NO_NAMES), F.lit(" | "),
+        joined_or(file["classes"], ", ", NO_NAMES), F.lit(" |\n"),
     )
 
 
 def _file_details(file: Column) -> Column:
     docstring = F.coalesce(
-        F.nullif(file["module_docstring"], F.lit("")), F.lit("*No module docstring.*")
+        F.nullif(file["module_docstring"], F.lit("")), F.lit(NO_DOCSTRING)
     )
     return F.concat(
         F.lit("\n#### `"), file["name"], F.lit("`\n\n"), docstring, F.lit("\n"),
@@ -44,7 +65,7 @@ def _file_details(file: Column) -> Column:
 def _bullets_or(items: str, otherwise: str) -> Column:
     return F.when(
         F.size(items) > 0, for_each(items, lambda i: F.concat(F.lit("- "), i, F.lit("\n")))
-    ).otherwise(F.lit(f"*{otherwise}*\n"))
+    ).otherwise(F.lit(f"{otherwise}\n"))
 
 
 def document_layout() -> list[Section]:
@@ -55,35 +76,30 @@ def document_layout() -> list[Section]:
     functions = show_all & (col("all_functions_count") > 0)
     classes = show_all & (col("all_classes_count") > 0)
     comma = text_if(~col("is_first"), ", ")
-    overview = F.coalesce(
-        F.nullif(col("overview"), F.lit("")),
-        F.lit("*No summary available for this directory.*"),
-    )
+    overview = F.coalesce(F.nullif(col("overview"), F.lit("")), F.lit(NO_OVERVIEW))
     header = F.concat(
         col("hash_line"), F.lit("\n# Context: "), col("dir_name"),
         F.lit("\n\n> Generated on "), col("generated_at"),
         F.lit("  \n> Directory: `"), col("path"), F.lit("`\n"),
-        F.lit(RULE + "## Overview\n\n"), overview, F.lit("\n"),
-        F.lit(RULE + "## Source Files\n\n"),
-        F.when(
-            has_files, F.lit("| File | Size | Functions | Classes |\n|------|------|-----------|---------|\n")
-        ).otherwise(F.lit("*No source files directly in this directory.*\n")),
+        F.lit(f"{RULE}{OVERVIEW}\n\n"), overview, F.lit("\n"),
+        F.lit(f"{RULE}{SOURCE_FILES}\n\n"),
+        F.when(has_files, F.lit(FILE_TABLE)).otherwise(F.lit(f"{NO_FILES}\n")),
     )
     key_symbols = (
         F.when(
             ~show_all,
             for_each("key_symbols", lambda s: F.concat(F.lit("- `"), s, F.lit("`\n"))),
         )
-        .when(functions | classes, F.lit("*No key symbols summarised; all extracted symbols:*\n"))
-        .otherwise(F.lit("*No symbols found.*\n"))
+        .when(functions | classes, F.lit(f"{ALL_SYMBOLS}\n"))
+        .otherwise(F.lit(f"{NO_SYMBOLS}\n"))
     )
     closing = F.concat(
-        F.lit(RULE + "## Non-Obvious Patterns\n\n"),
-        _bullets_or("patterns", "No patterns identified."),
-        F.lit(RULE + "## Tribal Knowledge\n\n"),
-        _bullets_or("tribal_knowledge", "No tribal knowledge recorded."),
-        F.lit(RULE + "## Subdirectories\n\n"),
-        text_if(col("subdirectories_count") == 0, "*No subdirectories.*\n"),
+        F.lit(f"{RULE}{PATTERNS}\n\n"),
+        _bullets_or("patterns", NO_PATTERNS),
+        F.lit(f"{RULE}{TRIBAL_KNOWLEDGE}\n\n"),
+        _bullets_or("tribal_knowledge", NO_TRIBAL_KNOWLEDGE),
+        F.lit(f"{RULE}{SUBDIRECTORIES}\n\n"),
+        text_if(col("subdirectories_count") == 0, f"{NO_SUBDIRECTORIES}\n"),
     )
 
     def link(child: Column) -> Column:
@@ -92,11 +108,11 @@ def document_layout() -> list[Section]:
     return [
         Section(header),
         Section(for_each("files", _file_row), over="files"),
-        Section(text_if(has_files, "\n### File Details\n")),
+        Section(text_if(has_files, f"\n{FILE_DETAILS}\n")),
         Section(for_each("files", _file_details), over="files"),
         Section(
             F.concat(
-                F.lit(RULE + "## Key Symbols\n\n"), key_symbols,
+                F.lit(f"{RULE}{KEY_SYMBOLS}\n\n"), key_symbols,
                 text_if(functions, "\n**Functions:** "),
             )
         ),
@@ -108,8 +124,8 @@ def document_layout() -> list[Section]:
         Section(
             F.concat(
                 text_if(classes, "\n"),
-                F.lit(RULE + "## Dependencies\n\n"),
-                text_if(col("all_imports_count") == 0, "*No imports detected.*\n"),
+                F.lit(f"{RULE}{DEPENDENCIES}\n\n"),
+                text_if(col("all_imports_count") == 0, f"{NO_IMPORTS}\n"),
             )
         ),
         Section(

@@ -76,9 +76,12 @@ PRUNE_PATTERNS = ["blog.*/", "fr/", "!blog.*/fr/7*", "/m.*/e[ns]/", "!/m.*/en/",
 NAME_PATTERNS = ["*5.html", "7*", "!77*", "en/1*", "[!0-8]?", "/3*"]
 
 
-def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+def query(name: str) -> Callable[[Query], Query]:
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        return function
+
+    return register
 
 
 def _text(items: Column | str) -> Column:
@@ -151,7 +154,7 @@ def _summaries(records: DataFrame) -> DataFrame:
 # Sources and scans
 
 
-@query
+@query("corpus_from_table")
 def corpus_from_table(spark: SparkSession, folder: str) -> DataFrame:
     corpus = views.docs(spark, folder)
     return corpus.select("root", "path", content_size(F.col("content")).alias("size_bytes"))
@@ -168,7 +171,7 @@ def _exported_code(spark: SparkSession, folder: str) -> str:
     return target.removeprefix("file:")
 
 
-@query
+@query("scan_tree")
 def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     root = f"{_exported_code(spark, folder)}/code"
     entries = written(list_trees(spark, [root]), "entries")
@@ -178,7 +181,7 @@ def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("scan_rejects")
 def scan_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Files over the size limit of the scan are reported, not read."""
     root = f"{_exported_code(spark, folder)}/code"
@@ -187,7 +190,7 @@ def scan_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return contents.where(F.col("read_error").isNotNull()).select("path", "length", "read_error")
 
 
-@query
+@query("stored_hash_parse")
 def stored_hash_parse(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.table(spark, folder, "documents").select("doc_id", "text")
     digest = F.sha2("text", 256)
@@ -203,7 +206,7 @@ def stored_hash_parse(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", stored_hash(document).alias("stored_hash"))
 
 
-@query
+@query("manifest_import")
 def manifest_import(spark: SparkSession, folder: str) -> DataFrame:
     """Earlier documents, known by the hash in their first line."""
     rows = views.table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -220,21 +223,21 @@ def manifest_import(spark: SparkSession, folder: str) -> DataFrame:
 # Filters
 
 
-@query
+@query("suffix_filter")
 def suffix_filter(spark: SparkSession, folder: str) -> DataFrame:
     paths = _paths(views.pages(spark, folder))
     spelled = F.when(F.length("path") % 2 == 0, F.upper("name")).otherwise(F.col("name"))
     return paths.select("path", spelled.alias("name")).where(has_suffix(F.col("name"), ".html"))
 
 
-@query
+@query("ignore_filter")
 def ignore_filter(spark: SparkSession, folder: str) -> DataFrame:
     rules = IgnoreRules.of(PAGE_PATTERNS)
     paths = _paths(views.pages(spark, folder))
     return paths.select("path", rules.matches(F.col("path")).alias("ignored"))
 
 
-@query
+@query("ignore_prune")
 def ignore_prune(spark: SparkSession, folder: str) -> DataFrame:
     rules = IgnoreRules.of(PRUNE_PATTERNS)
     paths = _paths(views.pages(spark, folder))
@@ -245,26 +248,26 @@ def ignore_prune(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("depth_filter")
 def depth_filter(spark: SparkSession, folder: str) -> DataFrame:
     flat = F.when(F.length("path") % 3 == 0, F.replace("path", F.lit("/"), F.lit("-")))
     paths = views.pages(spark, folder).select("root", F.coalesce(flat, "path").alias("path"))
     return with_path_parts(paths).where(within_depth(F.col("dir"), 1)).select("path", "depth")
 
 
-@query
+@query("ignore_by_name")
 def ignore_by_name(spark: SparkSession, folder: str) -> DataFrame:
     rules = IgnoreRules.of(NAME_PATTERNS)
     paths = _paths(views.pages(spark, folder))
     return paths.where(is_member(rules, "")).select("path")
 
 
-@query
+@query("record_flags")
 def record_flags(spark: SparkSession, folder: str) -> DataFrame:
     return file_flags(_code_records(spark, folder)).select("path", "symbol_count", "is_empty")
 
 
-@query
+@query("preview_one")
 def preview_one(spark: SparkSession, folder: str) -> DataFrame:
     corpus = TableCorpus(views.code(spark, folder))
     at = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -275,15 +278,12 @@ def preview_one(spark: SparkSession, folder: str) -> DataFrame:
 # Projections
 
 
-@query
+@query("content_hash")
 def content_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return _hashed(views.docs(spark, folder)).select("path", "size_bytes", "content_hash")
 
 
-QUERIES["content_hash"] = QUERIES.pop("content_hashes")
-
-
-@query
+@query("decode_text")
 def decode_text(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.table(spark, folder, "documents").select("doc_id", "text")
     kind = F.col("doc_id") % 4
@@ -299,13 +299,13 @@ def decode_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("path_parts")
 def path_parts(spark: SparkSession, folder: str) -> DataFrame:
     paths = _paths(_all_corpora(spark, folder))
     return paths.select("root", "path", "dir", "name", "depth")
 
 
-@query
+@query("json_roundtrip")
 def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     records = _code_records(spark, folder)
     sent = records.select("path", as_json(file_struct()).alias("json"))
@@ -323,7 +323,7 @@ def json_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 # Symbols
 
 
-@query
+@query("extract_docstring")
 def extract_docstring(spark: SparkSession, folder: str) -> DataFrame:
     return _code_records(spark, folder).select("path", "module_docstring")
 
@@ -341,12 +341,12 @@ QUERIES["extract_classes"] = _symbols_of("class")
 QUERIES["extract_imports"] = _symbols_of("import")
 
 
-@query
+@query("parse_failures")
 def parse_failures(spark: SparkSession, folder: str) -> DataFrame:
     return failures_of(_code_records(spark, folder))
 
 
-@query
+@query("file_records")
 def file_records(spark: SparkSession, folder: str) -> DataFrame:
     return _code_records(spark, folder).select(
         "root", "path", "name", "size_bytes", "content_hash", "module_docstring",
@@ -355,7 +355,7 @@ def file_records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("import_edges")
 def import_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges_of(_code_records(spark, folder))
 
@@ -363,7 +363,7 @@ def import_edges(spark: SparkSession, folder: str) -> DataFrame:
 # Aggregations
 
 
-@query
+@query("dir_rollup")
 def dir_rollup(spark: SparkSession, folder: str) -> DataFrame:
     records = _directories(spark, folder).records
     return records.select(
@@ -373,7 +373,7 @@ def dir_rollup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("tree_rollup")
 def tree_rollup(spark: SparkSession, folder: str) -> DataFrame:
     """Directories of all corpora, roots without files included."""
     hashed = _hashed(_all_corpora(spark, folder))
@@ -381,32 +381,32 @@ def tree_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return directory_hashes(with_roots(hashed, listing.select("root").distinct()))
 
 
-@query
+@query("ordered_union")
 def ordered_union(spark: SparkSession, folder: str) -> DataFrame:
     return union_of(symbols(_code_records(spark, folder)))
 
 
-@query
+@query("dir_hash")
 def dir_hash(spark: SparkSession, folder: str) -> DataFrame:
     return directory_hashes(_hashed(views.docs(spark, folder))).select(
         "root", "dir", "content_hash"
     )
 
 
-@query
+@query("dir_hash_large")
 def dir_hash_large(spark: SparkSession, folder: str) -> DataFrame:
     """The same hashes when almost every directory is beyond the limits."""
     hashed = _hashed(views.docs(spark, folder))
     return directory_hashes(hashed, Limits(rows=3)).select("root", "dir", "content_hash")
 
 
-@query
+@query("subdirectories")
 def subdirectories(spark: SparkSession, folder: str) -> DataFrame:
     listing = _paths(_all_corpora(spark, folder))
     return child_directories(directories_of(listing), IgnoreRules.of(["blog.*", "fr/", "src1?"]))
 
 
-@query
+@query("run_summary")
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
     hashes = directory_hashes(_hashed(_all_corpora(spark, folder)))
     status = change_status(hashes, current_manifest(_manifest(hashes)))
@@ -414,9 +414,6 @@ def run_counts(spark: SparkSession, folder: str) -> DataFrame:
     return run_summary(status.withColumn("errors", errors))
 
 
-QUERIES["run_summary"] = QUERIES.pop("run_counts")
-
-
 # Joins
 
 
@@ -435,7 +432,7 @@ QUERIES["changed_dirs_force"] = _changed(force=True)
 QUERIES["changed_dirs_retry"] = _changed(retry_failed=True)
 
 
-@query
+@query("attach_summary")
 def attach_summary(spark: SparkSession, folder: str) -> DataFrame:
     records = _directories(spark, folder).records
     joined = directory_flags(attach_summaries(records, _summaries(records)))
@@ -449,12 +446,12 @@ def attach_summary(spark: SparkSession, folder: str) -> DataFrame:
 # Sorting and shortening
 
 
-@query
+@query("sorted_listing")
 def sorted_listing(spark: SparkSession, folder: str) -> DataFrame:
     return sort_listing(_all_corpora(spark, folder))
 
 
-@query
+@query("preview_truncated")
 def preview_truncated(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)
     return documents.select("root", "dir", shortened(F.col("markdown")).alias("markdown"))
@@ -463,12 +460,12 @@ def preview_truncated(spark: SparkSession, folder: str) -> DataFrame:
 # Prompts, answers, documents
 
 
-@query
+@query("prompt_text")
 def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
     return prompts(_directories(spark, folder).records).select("root", "dir", "prompt")
 
 
-@query
+@query("prompt_messages")
 def prompt_messages(spark: SparkSession, folder: str) -> DataFrame:
     sent = prompts(_directories(spark, folder).records)
     return sent.select("root", "dir", F.posexplode("messages").alias("position", "m")).select(
@@ -476,7 +473,7 @@ def prompt_messages(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("summary_parse")
 def summary_parse(spark: SparkSession, folder: str) -> DataFrame:
     checked = validate_answers(views.answers(spark, folder))
     summary = F.col("summary")
@@ -488,7 +485,7 @@ def summary_parse(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("extractive_summary")
 def extractive_summary(spark: SparkSession, folder: str) -> DataFrame:
     summarized = summarize_natively(_directories(spark, folder).records, "[auto] ")
     return summarized.select(
@@ -501,7 +498,7 @@ def _documents(spark: SparkSession, folder: str, how: str = "extractive") -> Dat
     return render(summarize(_directories(spark, folder), how), STAMP)
 
 
-@query
+@query("render_vars")
 def render_vars(spark: SparkSession, folder: str) -> DataFrame:
     directories = summarize(_directories(spark, folder), "extractive")
     return render_variables(directories.records, STAMP).select(
@@ -514,12 +511,12 @@ def render_vars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("render_document")
 def render_document(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder).select("root", "dir", "content_hash", "markdown")
 
 
-@query
+@query("render_large")
 def render_large(spark: SparkSession, folder: str) -> DataFrame:
     """Length of documents when many are beyond the limits and come in several rows."""
     directories = summarize(_directories(spark, folder, Limits(rows=16)), "extractive")
@@ -528,7 +525,7 @@ def render_large(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("render_no_summary")
 def render_no_summary(spark: SparkSession, folder: str) -> DataFrame:
     return _documents(spark, folder, "none").select("root", "dir", "content_hash", "markdown")
 
@@ -539,7 +536,7 @@ def _short_layout() -> list[Section]:
     return [Section(title), Section(row, over="files"), Section(F.col("hash_line"))]
 
 
-@query
+@query("render_custom")
 def render_custom(spark: SparkSession, folder: str) -> DataFrame:
     directories = summarize(_directories(spark, folder), "none")
     return render_column(directories.records, STAMP, _short_layout).select(
@@ -609,7 +606,7 @@ QUERIES["summarize_errors"] = _summarized_by(_refusing_summarizer)
 # Sinks
 
 
-@query
+@query("incremental_write")
 def incremental_write(spark: SparkSession, folder: str) -> DataFrame:
     """Three runs: everything, nothing new, and some files changed."""
     store = Store(new_folder(spark, "store"))
@@ -625,7 +622,7 @@ def incremental_write(spark: SparkSession, folder: str) -> DataFrame:
     return counts
 
 
-@query
+@query("export_documents")
 def export_documents(spark: SparkSession, folder: str) -> DataFrame:
     target = new_folder(spark, "export")
     exported = write_documents(_documents(spark, folder), target)
@@ -634,12 +631,10 @@ def export_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query
+@query("purge_listing")
 def purge_list(spark: SparkSession, folder: str) -> DataFrame:
     hashes = directory_hashes(_hashed(_all_corpora(spark, folder)))
     current = current_manifest(_manifest(hashes))
     docs = purge_listing(current, "docs", "src3")
     return docs.unionByName(purge_listing(current, "web")).select("root", "dir")
 
-
-QUERIES["purge_listing"] = QUERIES.pop("purge_list")
