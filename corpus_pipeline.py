@@ -4,15 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from treelens.llm.jaccard import near_dedup_stage
+from treelens.llm.lines import line_dedup_stage
+from treelens.llm.mixing import mixing_stage, read_labels
+from treelens.llm.packing import pack
 from treelens.llm.quality import quality_stage
 from treelens.operators.workspace import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that fail them."""
     return quality_stage(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier one has."""
+    return line_dedup_stage(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup_stage(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rate says, fitted to the targets of the domains."""
+    return mixing_stage(docs, read_labels(spark, sf_dir))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_dedup),
+    ("mixing sources to target weights", mixing),
+    ("packing", packing),
+]
 
 # The stages are not SQL; tests compare them with brute force.
 ORACLE_SQL = None

@@ -7,15 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from treelens.llm.html import op9_html_extraction
+from treelens.llm.jaccard import op3_ngram_jaccard_join
 from treelens.llm.language import op4_language_id
 from treelens.llm.licenses import op1_license_scan
+from treelens.llm.lines import op2_line_dedup
+from treelens.llm.mixing import op5_mixing
+from treelens.llm.packing import op6_packing
 from treelens.llm.quality import op10_quality_rules
+from treelens.llm.vectors import op8_embedding_near_dedup
+from treelens.llm.warc import op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_packing": op6_packing,
+    "op7_warc": op7_warc,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
+# The rules, hashes and trained models of these operators are not SQL; tests
+# compare them with brute force, round trips and held-out rows.
 ORACLE: dict[str, str] = {}
