@@ -229,7 +229,10 @@ def alike_in_size(rules: JaccardRules) -> Column:
 
 
 def hub_pairs(posted: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Each class of a posting with the posting's smallest and largest class, with their overlap."""
+    """Each class with the hub that it shares most with; hubs are the smallest and largest of a posting.
+
+    So there are no more pairs than classes, however many postings a group has.
+    """
     hubs = posted.groupBy("gram").agg(
         F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")
     )
@@ -237,11 +240,9 @@ def hub_pairs(posted: DataFrame, rules: JaccardRules) -> DataFrame:
     pairs = both.select(
         F.col("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"), "hub"
     ).where((F.col("a") != F.col("b")) & alike_in_size(rules))
-    # A pair of the two hubs would be there twice; keep the one that starts at the smaller.
     counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    good = promising(counted, rules)
-    turned = good.join(good.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi")
-    return good.join(turned.where("a > b").select("a", "b"), ["a", "b"], "left_anti")
+    best = promising(counted, rules).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best"))
+    return best.select(F.col("best.a").alias("a"), "b")
 
 
 def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -251,15 +252,21 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
     )
     mixed = (
         known.groupBy("gram")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"))
+        .agg(
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+            F.min("id").alias("first"),
+            F.count(F.lit(1)).alias("m"),
+        )
         .where("low <> high")
-        .select("gram", F.ceil(F.col("m") / rules.block).cast("int").alias("blocks"))
+        .select("gram", "first", F.ceil(F.col("m") / rules.block).cast("int").alias("blocks"))
     )
     rows = known.join(mixed, "gram")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     spread = rows.withColumn("mine", mine).select("*", F.explode(others).alias("other"))
     keyed = spread.select(
+        "first",
         "gram",
         F.least("mine", "other").alias("i"),
         F.greatest("mine", "other").alias("j"),
@@ -298,7 +305,7 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
                 swap = ids[p] > ids[q]
                 found.append((np.where(swap, q, p), np.where(swap, p, q)))
                 size += len(p)
-                if size > 200_000:
+                if size > 1_000_000:
                     yield summed(ids, n, found)
                     found, size = [], 0
         if size:
@@ -312,7 +319,9 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
         columns = [total.column(c).combine_chunks() for c in ("a", "n_a", "b", "n_b", "one_sum")]
         return pa.RecordBatch.from_arrays(columns, ["a", "n_a", "b", "n_b", "c"])
 
-    blocks = keyed.repartition("gram", "i", "j").sortWithinPartitions("gram", "i", "j")
+    # N-grams of one passage have about the same classes: dealt out by the smallest
+    # one they meet in a task, which adds their overlaps up before they are shuffled.
+    blocks = keyed.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "gram").drop("first")
     pairs = blocks.mapInArrow(multiply, "a long, n_a int, b long, n_b int, c long")
     counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return promising(counted, rules).select("a", "b")
