@@ -19,6 +19,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, repeat
 from math import ceil
 
 import numpy as np
@@ -47,7 +48,7 @@ class PackRules:
     seed: int = 29
     tokens_per_range: int = 4_000_000
     max_ranges: int = 50_000
-    cached_words: int = 300_000
+    cached_words: int = 150_000
 
 
 # ---- tokens ----
@@ -63,38 +64,40 @@ class WordTokenizer:
     def __init__(self, path: str, cached_words: int):
         self.tokenizer = Tokenizer.from_file(path)
         self.cached_words = cached_words
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pool, self.start, self.size = [], [], []
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each one has."""
+        """Ids of all texts in a row, and how many each one has.
+
+        The commonest words come early, so the first ones are remembered; words
+        beyond that are worked out once per call.
+        """
         words = [text.split() for text in texts]
         flat = [word for own in words for word in own]
-        if len(self.known) > self.cached_words:
-            self.forget()
-        new = sorted(set(flat).difference(self.known))
-        if new:
-            strings = [word.decode("utf-8", "replace") for word in new]
-            for word, code in zip(new, self.tokenizer.encode_batch(strings, add_special_tokens=False), strict=True):
-                self.known[word] = len(self.start)
-                self.start.append(len(self.pool))
-                self.size.append(len(code.ids))
-                self.pool.extend(code.ids)
-            self.arrays = [np.array(x, dtype=np.int64) for x in (self.start, self.size)]
-            self.pool_array = np.array(self.pool, dtype=np.uint32)
-        per_text = np.array([len(own) for own in words], dtype=np.int64)
         if not flat:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        number = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        start, size = self.arrays[0][number], self.arrays[1][number]
-        ends = np.cumsum(size)
-        at = np.repeat(start - (ends - size), size) + np.arange(ends[-1])
-        bounds = np.concatenate([[0], np.cumsum(per_text)])
-        total = np.concatenate([[0], ends])[bounds]
-        return self.pool_array[at], np.diff(total)
+        number = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        pool, start, size = self.pool, self.start, self.size
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            fresh: dict[bytes, int] = {}
+            base = len(start)
+            number[missing] = [fresh.setdefault(flat[k], base + len(fresh)) for k in missing.tolist()]
+            strings = [word.decode("utf-8", "replace") for word in fresh]
+            codes = [code.ids for code in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
+            start = np.concatenate([start, len(pool) + np.cumsum(sizes) - sizes])
+            size = np.concatenate([size, sizes])
+            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(codes), np.uint32, int(sizes.sum()))])
+            if len(self.known) < self.cached_words:
+                self.known.update(fresh)
+                self.pool, self.start, self.size = pool, start, size
+        sizes = size[number]
+        ends = np.cumsum(sizes)
+        at = np.repeat(start[number] - (ends - sizes), sizes) + np.arange(ends[-1])
+        bounds = np.concatenate([[0], np.cumsum([len(own) for own in words])]).astype(np.int64)
+        return pool[at], np.diff(np.concatenate([[0], ends])[bounds])
 
 
 # ---- places on the curve ----
