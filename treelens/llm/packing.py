@@ -15,6 +15,7 @@ the tie, so they spread over ranges as well.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -100,6 +101,13 @@ class WordTokenizer:
         return pool[at], np.diff(np.concatenate([[0], ends])[bounds])
 
 
+@lru_cache(maxsize=1)
+def word_tokenizer(path: str, cached_words: int) -> WordTokenizer:
+    """One per worker process, so that tasks after the first know the words; it uses one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokenizer(path, cached_words)
+
+
 # ---- places on the curve ----
 
 
@@ -168,7 +176,7 @@ def tokens(documents: DataFrame, path: str, rules: PackRules) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path, rules.cached_words)
+        tokenizer = word_tokenizer(path, rules.cached_words)
         for batch in batches:
             data, starts = text_buffer(batch.column(1))
             for first, last in slices(starts):
