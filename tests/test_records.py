@@ -8,9 +8,9 @@ from treelens.operators import records
 from treelens.operators.symbols import file_records
 
 SUMMARY = {"overview": "o", "key_symbols": ["k"], "patterns": [], "tribal_knowledge": ["t"]}
-FILE = {"path": "/p/m.py", "relative_path": "m.py", "size_bytes": 512, "content_hash": "abc123",
-        "source": "def foo(): pass", "module_docstring": "A test module.", "functions": ["foo"],
-        "classes": [], "imports": ["os"]}
+FILE = {"path": "/srv/tides/moon.py", "relative_path": "tides/moon.py", "size_bytes": 77,
+        "content_hash": "9f1e", "source": "class Moon: ...", "module_docstring": "Phases by date.",
+        "functions": ["phase", "age"], "classes": ["Moon"], "imports": ["calendar"]}
 
 
 def read(spark, reader, value):
@@ -45,7 +45,7 @@ def test_path_is_required(spark, reader):
 
 
 def test_directory_and_summary(spark):
-    value = {"path": "/p", "files": [FILE], "subdirectories": ["sub"], "content_hash": "deadbeef",
+    value = {"path": "/p", "files": [FILE], "subdirectories": ["sub"], "content_hash": "77aa",
              "summary": SUMMARY}
     assert read(spark, records.directory_from_json, value) == value
     assert read(spark, records.directory_from_json, {"path": "/p"}) == {

@@ -114,3 +114,9 @@ def test_long_form_matches_nested(spark):
     union = ordered_union(names).where("kind = 'import'").orderBy("first_file", "first_ordinal")
     assert [r.symbol for r in union.collect()] == ["p", "r", "q"]
     assert {r.module for r in import_edges(records).collect()} == {"p", "q", "r"}
+
+
+def test_lone_surrogates_are_spelled_out(spark):
+    files = corpus(spark, {"a.py": '"\\ud800"', "b.py": '"""Doc."""'})
+    found = {r.path: r.module_docstring for r in file_records(files).collect()}
+    assert found["a.py"] == "\\ud800" and found["b.py"] == "Doc."

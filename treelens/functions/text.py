@@ -47,3 +47,8 @@ def stored_hash(document: Column, label: str = "content-hash") -> Column:
 def hash_line(digest: Column, label: str = "content-hash") -> Column:
     """First line of a document; `stored_hash` reads it back."""
     return F.concat(F.lit(f"<!-- {label}: "), digest, F.lit(" -->"))
+
+
+def valid_text(text: str) -> str:
+    """A Python string with lone surrogates, which no column can hold, spelled as escapes."""
+    return text.encode("utf-8", "backslashreplace").decode("utf-8")

@@ -58,6 +58,14 @@ class Store:
         df.drop("run_id").write.mode("overwrite").parquet(f"{self.path}/{table}/run_id={run_id}")
 
 
+def mounted(folder: str) -> str:
+    """The path of a folder that is mounted on all executors; other file systems are refused."""
+    path = folder.removeprefix("file://").removeprefix("file:")
+    if ":/" in path.split("/", 1)[0] + "/" or not path.startswith("/"):
+        raise ValueError(f"not an absolute path of a mounted folder: {folder}")
+    return path
+
+
 def export_documents(
     documents: DataFrame, folder: str, file_name: str = DOCUMENT_NAME
 ) -> DataFrame:
@@ -76,7 +84,7 @@ def remove_exported(
     Returns one row per directory with the error, if any; running it deletes. A
     file that is already gone is no error, so a repeated task is harmless.
     """
-    base = folder.removeprefix("file:")
+    base = mounted(folder)
 
     def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,7 +109,7 @@ def export_files(texts: DataFrame, folder: str) -> DataFrame:
     folder must be a path that all executors can reach. Each file appears by
     rename, so a repeated task leaves the same result.
     """
-    base = folder.removeprefix("file:")
+    base = mounted(folder)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["root", "path", "bytes", "error"]

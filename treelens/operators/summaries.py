@@ -15,6 +15,7 @@ from treelens.functions.paths import display_name, display_path
 from treelens.functions.prompts import messages, prompt_layout
 from treelens.functions.responses import empty_summary, no_items, validate_answers
 from treelens.functions.sections import whole_text
+from treelens.functions.text import valid_text
 from treelens.operators.groups import task_count
 from treelens.operators.records import as_json, directory_struct
 from treelens.operators.rollup import Directories
@@ -84,10 +85,11 @@ def ask(
         for attempt in range(1, max_retries + 2):
             try:
                 answer = get()(sent)
-                raw = json.dumps(answer) if isinstance(answer, dict) else answer
-                return raw, attempt, None
+                if answer is None or isinstance(answer, str):
+                    return answer and valid_text(answer), attempt, None
+                return json.dumps(answer), attempt, None
             except Exception as failure:
-                error = f"{type(failure).__name__}: {failure}"
+                error = valid_text(f"{type(failure).__name__}: {failure}")
             if attempt <= max_retries:
                 time.sleep(retry_delay * 2 ** (attempt - 1))
         return None, max_retries + 1, error

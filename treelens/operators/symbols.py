@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from treelens.functions.text import content_hash, content_size, decode_source
+from treelens.functions.text import content_hash, content_size, decode_source, valid_text
 from treelens.operators.groups import spread_if_small
 
 METADATA = (
@@ -60,11 +60,12 @@ def module_metadata(source: str | None) -> dict:
                 modules.update((alias.name, None) for alias in aliases)
             case ast.ImportFrom(module=str(module)):
                 modules[module] = None
+    docstring = ast.get_docstring(tree)
     return {
-        "module_docstring": ast.get_docstring(tree),
-        "functions": named(ast.FunctionDef, ast.AsyncFunctionDef),
-        "classes": named(ast.ClassDef),
-        "imports": list(modules),
+        "module_docstring": None if docstring is None else valid_text(docstring),
+        "functions": [valid_text(name) for name in named(ast.FunctionDef, ast.AsyncFunctionDef)],
+        "classes": [valid_text(name) for name in named(ast.ClassDef)],
+        "imports": [valid_text(name) for name in modules],
         "parse_error": None,
     }
 
@@ -96,12 +97,13 @@ def parse(digest: Column, source: Column) -> Column:
     return arrow_udf(_metadata, METADATA).asNondeterministic()(digest, source)
 
 
-def file_records(files: DataFrame, keep_source: bool = False) -> DataFrame:
+def file_records(files: DataFrame, keep_source: bool = False, spread: bool = True) -> DataFrame:
     """One record per file that has `root`, `path`, `dir`, `name` and `content`.
 
-    Select and filter the files first: nothing is pushed below the parser.
+    Select and filter the files first: nothing is pushed below the parser. Files
+    of a tree are dealt out before they are read; `spread` is for tables only.
     """
-    hashed = spread_if_small(files).select(
+    hashed = (spread_if_small(files) if spread else files).select(
         "root",
         "path",
         "dir",

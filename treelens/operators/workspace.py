@@ -17,9 +17,12 @@ SETTING = "spark.checkpoint.dir"
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names; a local one only for local sessions that name none."""
     folder = spark.conf.get(SETTING, None)
+    local = spark.conf.get("spark.master", "").startswith("local")
+    if folder and folder.startswith("file:") and not local:
+        raise ValueError(f"{SETTING} is {folder}, which other machines of the cluster do not see")
     if folder:
         return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not local:
         raise ValueError(f"set {SETTING} to a folder that all executors can reach")
     folder = tempfile.mkdtemp(prefix="treelens-")
     spark.conf.set(SETTING, folder)

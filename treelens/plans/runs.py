@@ -110,7 +110,9 @@ def generate(
     narrowed = changed if some_unchanged else None
     conditions = [is_member(rules, suffix), reached(rules, max_depth)]
     contents = corpus.contents(conditions, narrowed, n_changed)
-    records = file_records(contents.where(F.col("read_error").isNull()))
+    records = file_records(
+        contents.where(F.col("read_error").isNull()), spread=not isinstance(corpus, TreeCorpus)
+    )
     children = child_directories(corpus.directories, rules).where(reached(rules, max_depth))
     if some_unchanged:
         children = children.join(changed, DIRECTORY, "left_semi")
@@ -160,7 +162,9 @@ def preview(
     rules = IgnoreRules.of(ignore)
     here = (F.col("root") == root) & (F.col("dir") == directory)
     contents = corpus.contents([here, is_member(rules, suffix)])
-    records = file_records(contents.where(F.col("read_error").isNull()))
+    records = file_records(
+        contents.where(F.col("read_error").isNull()), spread=not isinstance(corpus, TreeCorpus)
+    )
     children = child_directories(corpus.directories, rules).where(here)
     one = corpus.spark.range(1).select(F.lit(root).alias("root"), F.lit(directory).alias("dir"))
     sizes = corpus.listing.where(here).withColumn("size_bytes", F.lit(0))
