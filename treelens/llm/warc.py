@@ -76,6 +76,9 @@ def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
 
 # ---- writing ----
 
+ROWS = 64  # pages taken from a batch at once
+LEVEL = 1  # of compression
+
 
 def chunked(payload: bytes, size: int) -> bytes:
     """A payload in chunked transfer framing."""
@@ -146,10 +149,11 @@ def archives(rows: DataFrame, rules: WarcRules) -> DataFrame:
         members: list[bytes] = []
         size = 0
         for batch in batches:
-            for at in range(batch.num_rows):
-                for one in page_records(batch.slice(at, 1).to_pylist()[0], rules):
-                    members.append(gzip.compress(one, 5, mtime=0))
-                    size += len(members[-1])
+            for at in range(0, batch.num_rows, ROWS):
+                for row in batch.slice(at, ROWS).to_pylist():
+                    for one in page_records(row, rules):
+                        members.append(gzip.compress(one, LEVEL, mtime=0))
+                        size += len(members[-1])
                     if size >= rules.archive:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["content"])
                         members, size = [], 0
