@@ -10,7 +10,7 @@ from treelens.operators.groups import Limits
 from treelens.operators.listing import child_directories, directories_of, is_member, reached
 from treelens.operators.render import render
 from treelens.operators.rollup import directory_hashes, directory_records, with_roots
-from treelens.operators.summaries import prompts, summarize
+from treelens.operators.summaries import prompts, requests, summarize
 from treelens.operators.symbols import file_records
 from treelens.operators.workspace import written
 
@@ -168,15 +168,42 @@ def test_extractive_summary_takes_ten_symbols(spark):
         assert rows[0].summary.overview == "Directory 'd' holds 1 source file(s)."
 
 
-def test_too_large_for_a_request(spark):
+def test_requests_do_not_depend_on_size(spark):
+    files = hot_corpus()
+    for request, value in (("messages", "prompt"), ("record", "record")):
+        sent = [
+            {(r.root, r.dir): r[value] for r in requests(made(spark, files, limits), request).collect()}
+            for limits in (Limits(), SMALL)
+        ]
+        assert sent[0] == sent[1] and all(sent[0].values())
+    expected = {(r.root, r.dir): r.record for r in prompts(made(spark, files).records).collect()}
+    assert sent[1] == expected
+
+
+def test_large_directories_are_asked(spark):
     def factory():
         return lambda messages: '{"overview": "seen"}'
 
     directories = summarize(made(spark, hot_corpus(), SMALL), factory, retry_delay=0.0)
-    large = {r.dir: r for r in directories.heads.collect()}
-    assert large["hot"].summary_status == "failed" and large["hot"].error
-    assert all(r.summary.overview == "seen" for r in directories.records.collect())
-    assert "seen" not in whole(render(directories, STAMP))["hot"]
+    found = directories.rows("dir", "summary", "summary_status").collect()
+    assert "hot" in {r.dir for r in directories.heads.collect()}
+    assert all(r.summary.overview == "seen" and r.summary_status == "ok" for r in found)
+    assert "seen" in whole(render(directories, STAMP))["hot"]
+
+
+def test_queries_keep_large_directories(spark, monkeypatch):
+    from treelens.plans import queries
+
+    names = ["dir_rollup", "attach_summary", "prompt_text", "prompt_messages", "extractive_summary",
+             "render_vars", "render_custom", "summarize_udf", "summarize_retry", "summarize_errors"]
+    folder = "/root/testdata/sf0.001"
+
+    def results():
+        return {n: sorted(map(str, queries.QUERIES[n](spark, folder).collect())) for n in names}
+
+    expected, plain = results(), queries._directories
+    monkeypatch.setattr(queries, "_directories", lambda s, f: plain(s, f, Limits(rows=2)))
+    assert results() == expected
 
 
 def test_sections_of_custom_layout(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from treelens.functions.responses import LIST_FIELDS, SUMMARY, has_content, no_items
+from treelens.functions.sections import Section, for_each
 
 FILE = (
     "path string, relative_path string, size_bytes bigint, content_hash string, source string, "
@@ -33,24 +34,50 @@ def file_struct(source: Column | None = None) -> Column:
     )
 
 
+def _exchanged_file(f: Column) -> Column:
+    """A member of a directory record in its exchange shape."""
+    return F.struct(
+        F.concat_ws("/", "path", f["name"]).alias("path"),
+        f["name"].alias("relative_path"),
+        f["size_bytes"].alias("size_bytes"),
+        f["content_hash"].alias("content_hash"),
+        F.lit(None).cast("string").alias("source"),
+        f["module_docstring"].alias("module_docstring"),
+        *(f[name].alias(name) for name in ("functions", "classes", "imports")),
+    )
+
+
 def directory_struct() -> Column:
     """A directory record that carries `path`, in its exchange shape."""
-    nothing = F.lit(None).cast("string")
-    files = F.transform(
-        "files",
-        lambda f: F.struct(
-            F.concat_ws("/", "path", f["name"]).alias("path"),
-            f["name"].alias("relative_path"),
-            f["size_bytes"].alias("size_bytes"),
-            f["content_hash"].alias("content_hash"),
-            nothing.alias("source"),
-            f["module_docstring"].alias("module_docstring"),
-            *(f[name].alias(name) for name in ("functions", "classes", "imports")),
-        ),
-    )
+    files = F.transform("files", _exchanged_file)
     return F.struct("path", files.alias("files"), "subdirectories", "content_hash")
 
 
+def record_layout() -> list[Section]:
+    """The JSON of a directory record as sections; `closed_record` completes their text.
+
+    Items end with a comma and lists with a character that JSON text never holds.
+    """
+
+    def inside(json: Column) -> Column:
+        return F.substr(json, F.lit(2), F.length(json) - 2)
+
+    return [
+        Section(F.concat(F.lit("{"), inside(as_json(F.struct("path"))), F.lit(',"files":['))),
+        Section(for_each("files", lambda f: F.concat(as_json(_exchanged_file(f)), F.lit(","))), "files"),
+        Section(F.lit('\x00],"subdirectories":[')),
+        Section(
+            for_each("subdirectories", lambda d: F.concat(inside(F.to_json(F.array(d))), F.lit(","))),
+            "subdirectories",
+        ),
+        Section(F.concat(F.lit("\x00],"), inside(as_json(F.struct("content_hash"))), F.lit("}"))),
+    ]
+
+
+def closed_record(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(",\x00"), F.lit("")), F.lit("\x00"), F.lit(""))
+
+
 def as_json(record: Column) -> Column:
     """Every field is written, nulls included."""
     return F.to_json(record, {"ignoreNullFields": "false"})

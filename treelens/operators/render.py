@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from treelens.functions.markdown import document_layout
 from treelens.functions.responses import has_content
-from treelens.functions.sections import Layout, Section, sections_of, whole_text
+from treelens.functions.sections import Layout, sections_of, whole_text
 from treelens.functions.text import hash_line
-from treelens.operators.groups import in_pieces
+from treelens.operators.pieces import section_rows
 from treelens.operators.rollup import Directories
 from treelens.operators.summaries import named
 
@@ -67,45 +68,9 @@ def render(
     )
     if directories.heads is None:
         return documents
-    heads = render_variables(directories.heads, generated_at)
-    for number, section in enumerate(sections):
-        pieces = heads if section.over is None else _pieces(directories, heads, section)
-        start = F.lit("") if section.over is None else F.col("start")
-        part = pieces.select(
-            *DIRECTORY,
-            "content_hash",
-            *carry,
-            F.lit(number).alias("section"),
-            start.alias("start"),
-            section.text.alias("markdown"),
-        )
-        documents = documents.unionByName(part)
-    return documents
-
-
-def _pieces(directories: Directories, heads: DataFrame, section: Section) -> DataFrame:
-    """The long list a section runs along, cut into consecutive pieces."""
-    if section.over == "files":
-        order = ["name"]
-        member = F.struct("name", *(c for c in directories.files.columns if c not in order))
-        rows, is_first = directories.files, F.lit(True)
-        gathered = F.array_sort(F.collect_list(member)).alias("files")
-    else:
-        order = ["at_file", "at"]
-        rows = directories.lists.where(F.col("list") == section.over)
-        in_order = F.array_sort(F.collect_list(F.struct("at_file", "at", "item")))
-        gathered = in_order["item"].alias(section.over)
-        leading = F.col(f"leading_{section.over}")
-        is_first = F.element_at(section.over, 1) == F.element_at(leading, 1)
-    # The start sorts as text: file name first, then the place within the file.
-    start = (
-        F.min("name")
-        if section.over == "files"
-        else F.min(F.concat("at_file", F.lit("\x00"), F.lpad(F.col("at").cast("string"), 10, "0")))
-    )
-    pieces = in_pieces(rows, [*DIRECTORY, *order], directories.cut)
-    texts = pieces.groupBy(*DIRECTORY, "piece").agg(start.alias("start"), gathered)
-    return texts.join(heads, DIRECTORY).withColumn("is_first", is_first)
+    heads = replace(directories, heads=render_variables(directories.heads, generated_at))
+    rows = section_rows(heads, sections, ["content_hash", *carry])
+    return documents.unionByName(rows.withColumnRenamed("text", "markdown"))
 
 
 def render_column(

@@ -138,8 +138,8 @@ def _hash_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class Directories:
     """All directory records of a corpus.
 
-    `records` has one row per directory with nested members. A directory beyond
-    the limits is not gathered: it has a row in `heads` with its totals and
+    `records` has one row with nested members per directory within the limits. A
+    directory beyond them is not gathered: it has a row in `heads` with its totals and
     leading entries, its members are the rows of `files`, and its unions are
     the rows of `lists` (`list`, `item`, `at_file`, `at`, sorted by the last two).
     """
@@ -155,6 +155,11 @@ class Directories:
         heads = None if self.heads is None else step(self.heads)
         return replace(self, records=step(self.records), heads=heads)
 
+    def rows(self, *columns: str) -> DataFrame:
+        """One row per directory of any size, with columns that need no nested members."""
+        found = self.records.select(*columns)
+        return found if self.heads is None else found.unionByName(self.heads.select(*columns))
+
 
 def directory_records(
     files: DataFrame,

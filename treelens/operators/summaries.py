@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +16,10 @@ from treelens.functions.responses import empty_summary, no_items, validate_answe
 from treelens.functions.sections import whole_text
 from treelens.functions.text import valid_text
 from treelens.operators.groups import task_count
-from treelens.operators.records import as_json, directory_struct
+from treelens.operators.pieces import whole_texts
+from treelens.operators.records import as_json, closed_record, directory_struct, record_layout
 from treelens.operators.rollup import Directories
+from treelens.operators.workspace import written
 
 # A summariser takes the messages of one directory, or its record as a dict, and
 # returns the raw answer, or a dict with the fields of one.
@@ -63,6 +64,24 @@ def prompts(records: DataFrame) -> DataFrame:
     )
 
 
+def requests(
+    directories: Directories,
+    request: str = "messages",
+    save: Callable[[DataFrame, str], DataFrame] = written,
+) -> DataFrame:
+    """`root`, `dir` and the `request` of all directories: `prompt` and `messages`, or `record`.
+
+    A request is one value; one that no value can hold is null.
+    """
+    shown = directories.each(named)
+    if request == "messages":
+        texts = whole_texts(shown, prompt_layout(), save=save)
+        asked = F.when(F.col("text").isNotNull(), messages(F.col("text")))
+        return texts.select("root", "dir", F.col("text").alias("prompt"), asked.alias("messages"))
+    texts = whole_texts(shown, record_layout(), save=save)
+    return texts.select("root", "dir", closed_record(F.col("text")).alias("record"))
+
+
 def ask(
     prompted: DataFrame,
     factory: SummarizerFactory,
@@ -96,6 +115,7 @@ def ask(
 
     def answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made: list[Summarizer] = []
+        too_large = (None, 0, "request too large for one value")
 
         def get() -> Summarizer:
             if not made:
@@ -104,7 +124,7 @@ def ask(
 
         for batch in batches:
             out = [
-                (root, directory, *attempt_all(get, json.loads(sent)))
+                (root, directory, *(attempt_all(get, json.loads(sent)) if sent else too_large))
                 for root, directory, sent in zip(batch["root"], batch["dir"], batch["sent"])
             ]
             yield pd.DataFrame(out, columns=["root", "dir", "raw", "attempts", "error"])
@@ -158,20 +178,16 @@ def summarize(
     """Add `summary`, `summary_status` and `error` to all directories.
 
     `how` is `extractive`, `none`, or a factory of a summariser; `save` writes
-    the answers. A prompt is one value for one call, so a directory beyond the
-    limits of a row is not sent: it gets the error a refused request would
-    give. The other two ways have no such limit.
+    the answers. Directories of any size are sent. A request is one value for
+    one call; one that no value can hold gets the error of a refused request.
     """
     if how == "extractive":
         return directories.each(lambda d: _marked(extractive_summary(d), "ok"))
     if how == "none":
         return directories.each(lambda d: _marked(without_summary(d), "none"))
-    answers = save(ask(prompts(directories.records), how, **options), "answers")
-    records = attach_summaries(directories.records, summaries_from(answers))
-    heads = directories.heads
-    if heads is not None:
-        heads = _marked(without_summary(heads), "failed", "prompt too large for one request")
-    return replace(directories, records=records, heads=heads)
+    sent = requests(directories, options.get("request", "messages"))
+    summaries = summaries_from(save(ask(sent, how, **options), "answers"))
+    return directories.each(lambda d: attach_summaries(d, summaries))
 
 
 def _marked(records: DataFrame, status: str, error: str | None = None) -> DataFrame:

@@ -30,8 +30,8 @@ DOCS = f"docs AS (SELECT 'docs' AS root, {DOC_PATH} AS path, text AS content FRO
 PAGES = """web_ranked AS (
     SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(
         url, '^https?://', ''), '[?#].*$', ''), '/$', '') AS path FROM pages),
-web AS (SELECT 'web' AS root, path, html AS content FROM web_ranked
-    QUALIFY row_number() OVER (PARTITION BY path ORDER BY page_id) = 1)"""
+web AS (SELECT 'web' AS root, CASE WHEN row_number() OVER (PARTITION BY path ORDER BY page_id) = 1
+    THEN path ELSE concat(path, '~', page_id) END AS path, html AS content FROM web_ranked)"""
 CODE_FILES = f"code AS (SELECT 'code' AS root, {CODE_PATH} AS path, {CODE} AS content FROM part)"
 ALL = f"""{DOCS}, {PAGES}, {CODE_FILES},
 corpus AS (SELECT * FROM docs UNION ALL SELECT * FROM web UNION ALL SELECT * FROM code)"""

@@ -39,6 +39,7 @@ from treelens.operators.listing import (
     sorted_listing as sort_listing,
     with_path_parts,
 )
+from treelens.operators.pieces import whole_texts
 from treelens.operators.records import (
     as_json,
     directory_flags,
@@ -46,14 +47,14 @@ from treelens.operators.records import (
     file_from_json,
     file_struct,
 )
-from treelens.operators.render import render, render_column, render_variables, shortened
+from treelens.operators.render import render, render_variables, shortened
 from treelens.operators.rollup import Directories, directory_hashes, directory_records, with_roots
 from treelens.operators.sinks import Store, export_documents as write_documents, export_files
 from treelens.operators.summaries import (
     ask,
     attach_summaries,
     extractive_summary as summarize_natively,
-    prompts,
+    requests,
     summaries_from,
     summarize,
 )
@@ -70,6 +71,8 @@ from treelens.sources.tree import list_trees, read_contents
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# In no name of a file or symbol.
+LIST_END = "\x00"
 STAMP = "2024-01-01T00:00:00Z"
 PAGE_PATTERNS = ["*.html", "blog.*/es/", "/www.*/de", "**/fr/6*", "!m.*/**/1?", "spam-*"]
 PRUNE_PATTERNS = ["blog.*/", "fr/", "!blog.*/fr/7*", "/m.*/e[ns]/", "!/m.*/en/", "*.html"]
@@ -88,6 +91,19 @@ def _text(items: Column | str) -> Column:
     return F.array_join(items, ",")
 
 
+def _list(name: str) -> Section:
+    """The items of a list of directories, each with a comma."""
+    return Section(for_each(name, lambda item: F.concat(item, F.lit(","))), over=name)
+
+
+def _lists(names: list[str]) -> list[Column]:
+    """Lists out of a text in which `LIST_END` parts them."""
+    parts = F.split("text", LIST_END)
+    return [
+        F.regexp_replace(parts[at], ",$", "").alias(name) for at, name in enumerate(names)
+    ]
+
+
 def _paths(corpus: DataFrame) -> DataFrame:
     return with_path_parts(corpus.select("root", "path"))
 
@@ -142,12 +158,11 @@ def _manifest(hashes: DataFrame) -> DataFrame:
     return older.unionByName(newer)
 
 
-def _summaries(records: DataFrame) -> DataFrame:
+def _summaries(directories: Directories) -> DataFrame:
     """Summaries for some directories only."""
-    some = records.where(F.col("file_count") % 2 == 0)
-    return summarize_natively(some).select(
-        "root", "dir", "summary", F.lit("ok").alias("summary_status"),
-        F.lit(None).cast("string").alias("error"),
+    made = directories.each(lambda d: summarize_natively(d.where(F.col("file_count") % 2 == 0)))
+    return made.rows("root", "dir", "summary").select(
+        "*", F.lit("ok").alias("summary_status"), F.lit(None).cast("string").alias("error")
     )
 
 
@@ -365,12 +380,13 @@ def import_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("dir_rollup")
 def dir_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    records = _directories(spark, folder).records
-    return records.select(
-        "root", "dir", "file_count", "total_size_bytes", "content_hash",
-        _text(F.col("files.name")).alias("members"),
-        _text("subdirectories").alias("subdirectories"),
+    members = Section(for_each("files", lambda f: F.concat(f["name"], F.lit(","))), over="files")
+    totals = ["file_count", "total_size_bytes", "content_hash"]
+    texts = whole_texts(
+        _directories(spark, folder), [members, Section(F.lit(LIST_END)), _list("subdirectories")], totals
     )
+    lists = _lists(["members", "subdirectories"])
+    return texts.select("root", "dir", *totals, *lists)
 
 
 @query("tree_rollup")
@@ -434,9 +450,10 @@ QUERIES["changed_dirs_retry"] = _changed(retry_failed=True)
 
 @query("attach_summary")
 def attach_summary(spark: SparkSession, folder: str) -> DataFrame:
-    records = _directories(spark, folder).records
-    joined = directory_flags(attach_summaries(records, _summaries(records)))
-    return joined.select(
+    directories = _directories(spark, folder)
+    summaries = written(_summaries(directories), "summaries")
+    joined = directories.each(lambda d: directory_flags(attach_summaries(d, summaries)))
+    return joined.rows("root", "dir", "summary", "summary_status", "is_empty", "has_content").select(
         "root", "dir", F.col("summary.overview").alias("overview"),
         _text(F.col("summary.key_symbols")).alias("key_symbols"),
         "summary_status", "is_empty", "has_content",
@@ -462,12 +479,12 @@ def preview_truncated(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("prompt_text")
 def prompt_text(spark: SparkSession, folder: str) -> DataFrame:
-    return prompts(_directories(spark, folder).records).select("root", "dir", "prompt")
+    return requests(_directories(spark, folder)).select("root", "dir", "prompt")
 
 
 @query("prompt_messages")
 def prompt_messages(spark: SparkSession, folder: str) -> DataFrame:
-    sent = prompts(_directories(spark, folder).records)
+    sent = requests(_directories(spark, folder))
     return sent.select("root", "dir", F.posexplode("messages").alias("position", "m")).select(
         "root", "dir", "position", "m.role", "m.content"
     )
@@ -487,8 +504,9 @@ def summary_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("extractive_summary")
 def extractive_summary(spark: SparkSession, folder: str) -> DataFrame:
-    summarized = summarize_natively(_directories(spark, folder).records, "[auto] ")
-    return summarized.select(
+    directories = _directories(spark, folder)
+    summarized = directories.each(lambda d: summarize_natively(d, "[auto] "))
+    return summarized.rows("root", "dir", "summary").select(
         "root", "dir", F.col("summary.overview").alias("overview"),
         _text(F.col("summary.key_symbols")).alias("key_symbols"),
     )
@@ -501,14 +519,18 @@ def _documents(spark: SparkSession, folder: str, how: str = "extractive") -> Dat
 @query("render_vars")
 def render_vars(spark: SparkSession, folder: str) -> DataFrame:
     directories = summarize(_directories(spark, folder), "extractive")
-    return render_variables(directories.records, STAMP).select(
-        "path", "dir_name", "content_hash", "file_count", "overview", "has_summary",
-        "generated_at", "hash_line",
-        *(_text(c).alias(c) for c in (
-            "subdirectories", "all_functions", "all_classes", "all_imports", "key_symbols",
-            "patterns", "tribal_knowledge",
-        )),
+    shown = directories.each(
+        lambda d: render_variables(d, STAMP).withColumns(
+            {c: _text(c) for c in ("key_symbols", "patterns", "tribal_knowledge")}
+        )
     )
+    carry = [
+        "path", "dir_name", "content_hash", "file_count", "overview", "has_summary", "generated_at",
+        "hash_line", "key_symbols", "patterns", "tribal_knowledge",
+    ]
+    lists = ["subdirectories", "all_functions", "all_classes", "all_imports"]
+    sections = [part for name in lists for part in (_list(name), Section(F.lit(LIST_END)))]
+    return whole_texts(shown, sections, carry).select(*carry, *_lists(lists))
 
 
 @query("render_document")
@@ -539,9 +561,8 @@ def _short_layout() -> list[Section]:
 @query("render_custom")
 def render_custom(spark: SparkSession, folder: str) -> DataFrame:
     directories = summarize(_directories(spark, folder), "none")
-    return render_column(directories.records, STAMP, _short_layout).select(
-        "root", "dir", "markdown"
-    )
+    shown = directories.each(lambda d: render_variables(d, STAMP))
+    return whole_texts(shown, _short_layout()).withColumnRenamed("text", "markdown")
 
 
 # Summarisers supplied by the caller
@@ -587,7 +608,7 @@ def _refusing_summarizer():
 
 def _summarized_by(factory) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        sent = prompts(_directories(spark, folder).records)
+        sent = requests(_directories(spark, folder))
         answers = written(ask(sent, factory, max_retries=2, retry_delay=0.0), "answers")
         return summaries_from(answers).select(
             "root", "dir", F.col("summary.overview").alias("overview"),

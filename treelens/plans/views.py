@@ -52,13 +52,17 @@ def docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    """`pages` as files under their hosts; of several pages with one path the first stays."""
+    """`pages` as files under their hosts; pages after the first of a path have their id in it."""
     path = F.col("url")
     for pattern in ("^https?://", "[?#].*$", "/$"):
         path = F.regexp_replace(path, pattern, "")
     rows = table(spark, folder, "pages").select("page_id", path.alias("path"), "html")
-    first = rows.groupBy("path").agg(F.min_by("html", "page_id").alias("html"))
-    return corpus_from_table(first, "path", "html", F.lit("web"))
+    first = rows.groupBy("path").agg(F.min("page_id").alias("first"))
+    unique = F.when(F.col("page_id") == F.col("first"), F.col("path")).otherwise(
+        F.concat("path", F.lit("~"), "page_id")
+    )
+    rows = rows.join(first, "path").select(unique.alias("path"), "html")
+    return corpus_from_table(rows, "path", "html", F.lit("web"))
 
 
 def code(spark: SparkSession, folder: str) -> DataFrame:
