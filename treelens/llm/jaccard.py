@@ -12,9 +12,10 @@ holds the overlaps. It is computed in blocks, and only where it can matter:
 * the rest is verified with the whole sets.
 
 A group of many near copies would still have links between all its members.
-Only connectivity is asked for, so a first round pairs the classes of a posting
-with two hubs, joins what links, and a second round multiplies only classes
-that are still apart. Large postings are multiplied in blocks of bounded size.
+Only connectivity is asked for, so a first round multiplies the classes of a
+posting with a few hubs only, joins what links, and a second round multiplies
+all classes that are still apart. Large postings are multiplied in blocks of
+bounded size.
 
 Defined results: documents without words have an empty set and link with
 nothing; with fewer words than n the whole sequence is the one n-gram. Rows
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treelens.llm.arrays import Slice, mix, shingles, texts_in
@@ -43,7 +44,8 @@ class JaccardRules:
     """n, the least similarity in percent, and sizes that only shape the work.
 
     `common_*` set which n-grams are known to be common, for the order and for
-    dealing them out; `block` is the most classes multiplied at once; `listed`
+    dealing them out; `block` is the most classes multiplied at once; `hubs` is
+    how many of a posting the first round multiplies the others with; `listed`
     is the most rows of ids that are sent to all tasks instead of shuffled.
     """
 
@@ -52,6 +54,7 @@ class JaccardRules:
     common_texts: int = 32
     common_listed: int = 100_000
     block: int = 1024
+    hubs: int = 32
     listed: int = 1_000_000
 
 
@@ -224,32 +227,19 @@ def promising(pairs: DataFrame, rules: JaccardRules) -> DataFrame:
     return pairs.where(enough)
 
 
-def alike_in_size(rules: JaccardRules) -> Column:
-    return 100 * F.least("n_a", "n_b") >= rules.percent * F.greatest("n_a", "n_b")
+def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules) -> DataFrame:
+    """Promising pairs `a` < `b` of classes with different labels in a posting.
 
-
-def hub_pairs(posted: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Each class with the hub that it shares most with; hubs are the smallest and largest of a posting.
-
-    So there are no more pairs than classes, however many postings a group has.
+    Without labels, each class is only multiplied with the hubs of its posting, its
+    smallest ids: a class has few pairs then, however many near copies it has.
     """
-    hubs = posted.groupBy("gram").agg(
-        F.min(F.struct("id", "n")).alias("low"), F.max(F.struct("id", "n")).alias("high")
-    )
-    both = posted.join(hubs, "gram").select("gram", "id", "n", F.explode(F.array("low", "high")).alias("hub"))
-    pairs = both.select(
-        F.col("hub.id").alias("a"), F.col("hub.n").alias("n_a"), F.col("id").alias("b"), F.col("n").alias("n_b"), "hub"
-    ).where((F.col("a") != F.col("b")) & alike_in_size(rules))
-    counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("c"))
-    best = promising(counted, rules).groupBy("b").agg(F.max(F.struct("c", "a")).alias("best"))
-    return best.select(F.col("best.a").alias("a"), "b")
-
-
-def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> DataFrame:
-    """Pairs of classes with different labels in a posting, with their overlap over all postings."""
-    known = posted.join(labels, posted["id"] == labels["node"], "left").select(
-        "gram", "id", "n", F.coalesce("component", "id").alias("label")
-    )
+    most = rules.hubs if labels is None else None
+    if labels is None:
+        known = posted.select("gram", "id", "n", F.col("id").alias("label"))
+    else:
+        known = posted.join(labels, posted["id"] == labels["node"], "left").select(
+            "gram", "id", "n", F.coalesce("component", "id").alias("label")
+        )
     mixed = (
         known.groupBy("gram")
         .agg(
@@ -264,6 +254,9 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
     rows = known.join(mixed, "gram")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if labels is None:
+        # The hubs are in the first block.
+        others = F.when(F.col("mine") == 0, others).otherwise(F.array(F.lit(0)))
     spread = rows.withColumn("mine", mine).select("*", F.explode(others).alias("other"))
     keyed = spread.select(
         "first",
@@ -297,8 +290,9 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
         for first, last in zip(starts, starts[1:], strict=False):
             own = np.arange(first, last)
             a, b = (own, own) if diagonal[first] else (own[left[first:last]], own[~left[first:last]])
-            for at in range(0, len(a), 256):
-                p, q = np.meshgrid(a[at : at + 256], b, indexing="ij")
+            a = a[:most]
+            for at in range(0, len(b), 256):
+                p, q = np.meshgrid(a, b[at : at + 256], indexing="ij")
                 apart = (label[p] != label[q]) & (ids[p] < ids[q] if diagonal[first] else True)
                 fits = 100 * np.minimum(n[p], n[q]).astype(np.int64) >= rules.percent * np.maximum(n[p], n[q]).astype(np.int64)
                 p, q = p[apart & fits], q[apart & fits]
@@ -321,7 +315,7 @@ def apart_pairs(posted: DataFrame, labels: DataFrame, rules: JaccardRules) -> Da
 
     # N-grams of one passage have about the same classes: dealt out by the smallest
     # one they meet in a task, which adds their overlaps up before they are shuffled.
-    blocks = keyed.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "gram").drop("first")
+    blocks = keyed.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "gram", "id").drop("first")
     pairs = blocks.mapInArrow(multiply, "a long, n_a int, b long, n_b int, c long")
     counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return promising(counted, rules).select("a", "b")
@@ -384,16 +378,15 @@ def near_documents(documents: DataFrame, rules: JaccardRules | None = None) -> D
         rows.where("doc_id IS NOT NULL AND n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "classes"
     )
     posted = written(postings(documents, common_grams(scanned, rules), rules), "postings")
-    tried = written(hub_pairs(posted, rules).select("a", "b"), "pairs")
+    tried = written(multiplied(posted, None, rules), "pairs")
     links = written(verified(tried, classes, documents, rules), "verified")
     labels = components(links)
-    ordered = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(apart_pairs(posted, labels, rules).join(ordered, ["a", "b"], "left_anti"), "pairs")
+    rest = written(multiplied(posted, labels, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = verified(rest, classes, documents, rules)
     # Rows with one id are one document, whatever their sets.
     several = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-    all_links = links.unionByName(more).unionByName(several.where("a <> b").select("a", "b"))
-    labels = components(all_links)
+    joined = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    labels = components(joined.unionByName(more).unionByName(several.where("a <> b").select("a", "b")))
     named = classes.join(labels, classes["id"] == labels["node"], "left").select(
         classes["id"], "doc_id", F.coalesce("component", "id").alias("root")
     )
