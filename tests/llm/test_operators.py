@@ -116,6 +116,29 @@ def test_line_dedup(documents, empty, texts):
     assert line_dedup(empty).count() == 0
 
 
+def test_line_dedup_takes_whole_passages(spark):
+    rng = np.random.default_rng(41)
+    passages = [[sentence(rng, 55 // n + 1) for _ in range(n)] for n in (2, 3, 4, 5, 6)]
+    rows, expected = [], {}
+    for k, passage in enumerate(passages):
+        for copy in range(3):
+            before, after = sentence(rng, 10), sentence(rng, 10)
+            i = 10 * copy + k
+            rows.append((i, "\n".join([before, *passage, after])))
+            expected[i] = rows[-1][1] if copy == 0 else before + "\n" + after
+    # An exact copy of several lines goes whole; a run of 40 words stays.
+    short = [sentence(rng, 20), sentence(rng, 20)]
+    rows += [(100, rows[0][1]), (101, "\n".join(["x", *short])), (102, "\n".join(["y", *short]))]
+    expected |= {100: "", 101: rows[-2][1], 102: rows[-1][1]}
+    # Of lines that repeat themselves the first passage stays whole; blank lines do not matter.
+    again = sentence(rng, 30)
+    rows += [(103, "\n".join([again] * 5)), (104, passages[0][0] + "\n\n" + passages[0][1] + "\nend")]
+    expected |= {103: "\n".join([again] * 2), 104: "end"}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {i: r.text for i, r in by_id(line_dedup(df)).items()} == expected
+    assert 100 not in by_id(line_dedup_stage(df))
+
+
 def jaccard_components(texts):
     sets = []
     for text in texts:

@@ -1,16 +1,17 @@
-"""Repeated passages, found as content-defined chunks of lines.
+"""Repeated passages: runs of neighbouring lines with 50 words or more that occur before.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk
-ends, so an insertion moves boundaries only near itself and the same passage is
-cut alike in every document. Chunks of several lines, and single lines as long
-as a passage, are grouped over all documents by hash and compared byte by byte;
-of equal ones the first in order of id stays. Everything is DataFrame
-functions.
+From every line on, and up to every line, the shortest run of lines that is as
+long as a passage is looked up by its SHA-256 over all documents. A repeated
+passage of any number of lines is the union of such runs inside it, so it is
+found whole, whatever surrounds it. Of equal runs the first in order of id and
+line stays. Blank lines separate nothing and count for nothing. Everything is
+DataFrame functions.
 
 Defined results: null and empty texts stay as they are. Rows with the same id
-and text are one document for the order of chunks, so they keep and lose the
-same ones; rows with null ids come first. An empty table gives an empty result.
-Other columns are carried along, whatever they are called.
+and text are one document for the order of passages, so they keep and lose the
+same ones; rows with null ids come first. Where a passage overlaps its own
+repeat, the first is left whole. An empty table gives an empty result. Other
+columns are carried along, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class ChunkRules:
-    """One boundary in `lines_per_chunk` lines on average; a passage has at least `min_words`."""
+    """A passage has at least `min_words`."""
 
-    lines_per_chunk: int = 3
     min_words: int = 50
 
 
@@ -34,116 +34,117 @@ def materialised(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def is_passage(line: Column, rules: ChunkRules) -> Column:
-    """Whether one line is as long as a passage. Blanks are counted, which is cheap."""
-    blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return (F.length(line) > rules.min_words) & (blanks >= rules.min_words - 1)
+def lines_of(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def cut(documents: DataFrame, rules: ChunkRules) -> DataFrame:
-    """Add `row_key` and `cut`: the lines of each text and its chunks, by their first and last line."""
-    keyed = documents.withColumn("row_key", F.xxhash64(F.col("doc_id"), F.col("text")))
-    lines = materialised(keyed, "lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    marks = F.transform(
-        F.col("lines"),
-        lambda line: F.struct(F.xxhash64(line).alias("hash"), is_passage(line, rules).alias("long")),
-    )
-    marked = materialised(lines, "marks", marks)
-    last = F.size("marks") - 1
-
-    def ends(at: Column) -> Column:
-        here, before, after = F.get("marks", at), F.get("marks", at - 1), F.get("marks", at + 1)
-        rolling = F.xxhash64(F.coalesce(before["hash"], F.lit(0)), here["hash"])
-        apart = here["long"] | F.coalesce(after["long"], F.lit(False))
-        return (at == last) | apart | (F.pmod(rolling, F.lit(rules.lines_per_chunk)) == 0)
-
-    stops = materialised(marked, "stops", F.filter(F.sequence(F.lit(0), last), ends))
-    chunk = F.transform(
-        F.col("stops"),
-        lambda stop, k: F.struct(
-            k.alias("k"), (F.coalesce(F.get("stops", k - 1), F.lit(-1)) + 1).alias("first"), stop.alias("last")
-        ),
-    )
-    return materialised(stops, "chunks", chunk).drop("stops")
+def shortest(words: Column, rules: ChunkRules) -> Column:
+    """How many of the first values it takes to come to a passage; null if all are too few."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+
+    def more(state: Column, value: Column) -> Column:
+        enough = state["sum"] >= rules.min_words
+        return F.when(enough, state).otherwise(
+            F.struct((state["sum"] + value).alias("sum"), (state["n"] + 1).alias("n"))
+        )
 
+    return F.aggregate(words, start, more, lambda state: F.when(state["sum"] >= rules.min_words, state["n"]))
 
-def slice_of(values: str, chunk: Column) -> Column:
-    return F.slice(values, chunk["first"] + 1, chunk["last"] - chunk["first"] + 1)
 
+def passage_rows(documents: DataFrame, rules: ChunkRules) -> DataFrame:
+    """`doc_id`, `row_key`, first and last line and `hash` of every shortest run."""
+    keyed = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), lines_of(F.col("text")).alias("all"))
+    marks = F.transform(
+        F.col("all"),
+        lambda line, at: F.struct(at.alias("at"), F.regexp_count(line, F.lit(r"\S+")).alias("words"), line.alias("line")),
+    )
+    filled = materialised(keyed, "marks", F.filter(marks, lambda mark: mark["words"] > 0)).drop("all")
+    filled = filled.where(F.size("marks") > 0)
+    n = F.size("marks")
 
-def may_repeat(chunk: Column) -> Column:
-    """Chunks of several lines with text, or of one line as long as a passage."""
-    filled = F.size(F.filter(slice_of("lines", chunk), lambda line: F.trim(line) != ""))
-    alone = F.get("marks", chunk["first"])["long"]
-    return ((chunk["last"] > chunk["first"]) & (filled > 1)) | alone
+    # Lines with text have a word at least, so no run has more lines than a passage has words.
+    def onward(at: Column) -> Column:
+        run = F.slice("marks", at + 1, F.lit(rules.min_words))
+        return F.struct(at.alias("first"), (at + shortest(run["words"], rules) - 1).alias("last"))
 
+    def backward(at: Column) -> Column:
+        start = F.greatest(at - rules.min_words + 1, F.lit(0))
+        run = F.reverse(F.slice("marks", start + 1, at - start + 1))
+        return F.struct((at - shortest(run["words"], rules) + 1).alias("first"), at.alias("last"))
 
-def described(chunk: Column, with_body: bool) -> Column:
-    """A chunk's number and two hashes, and its bytes if asked for."""
-    hashes = F.transform(slice_of("marks", chunk), lambda mark: mark["hash"])
-    fields = [
-        chunk["k"].alias("k"),
-        F.xxhash64(hashes).alias("hash"),
-        F.xxhash64(F.lit("second"), hashes).alias("check"),
-    ]
-    if with_body:
-        fields.append(F.array_join(slice_of("lines", chunk), "\n").alias("body"))
-    return F.struct(*fields)
+    places = F.sequence(F.lit(0), n - 1)
+    runs = F.array_union(F.transform(places, onward), F.transform(places, backward))
+    found = materialised(filled, "runs", F.filter(runs, lambda r: r["first"].isNotNull() & r["last"].isNotNull()))
 
+    def described(run: Column) -> Column:
+        body = F.array_join(F.slice("marks", run["first"] + 1, run["last"] - run["first"] + 1)["line"], "\n")
+        return F.struct(
+            F.get("marks", run["first"])["at"].alias("first"),
+            F.get("marks", run["last"])["at"].alias("last"),
+            F.unhex(F.sha2(body, 256)).alias("hash"),
+        )
 
-def chunk_rows(pieces: DataFrame, with_body: bool) -> DataFrame:
-    chosen = F.transform(F.filter("chunks", may_repeat), lambda c: described(c, with_body))
-    return pieces.select("doc_id", "row_key", F.inline(chosen))
+    return found.select("doc_id", "row_key", F.inline(F.transform("runs", described)))
 
 
-def repeated_chunks(documents: DataFrame, rules: ChunkRules) -> DataFrame:
-    """`doc_id`, `row_key` and the numbers of the chunks to remove.
+def repeated_lines(documents: DataFrame, rules: ChunkRules) -> DataFrame:
+    """`doc_id`, `row_key` and the first and last lines of the runs to remove.
 
-    Bodies are grouped as they are, which compares their bytes; a chunk that a
-    third of all documents share is one row per task after the partial count.
+    A run that a third of all documents share is one row per task after the
+    partial count.
     """
-    pieces = cut(documents.select("doc_id", "text"), rules)
-    place = F.struct("doc_id", "row_key", "k")
+    runs = passage_rows(documents.select("doc_id", "text"), rules)
+    place = F.struct("doc_id", "row_key", "first", "last")
     groups = (
-        chunk_rows(pieces, True)
-        .groupBy("hash", "check", "body")
+        runs.groupBy("hash")
         .agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("stays"))
         .where("n > 1")
-        .select("hash", "check", "stays")
+        .select("hash", "stays")
     )
+    same = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("row_key") == F.col("stays.row_key"))
+    first = F.when(same, F.greatest("first", F.col("stays.last") + 1)).otherwise(F.col("first"))
     return (
-        chunk_rows(pieces, False)
-        .join(groups, ["hash", "check"])
+        runs.join(groups, "hash")
         .where(~place.eqNullSafe(F.col("stays")))
+        .select("doc_id", "row_key", first.alias("first"), "last")
+        .where("first <= last")
         .groupBy("doc_id", "row_key")
-        .agg(F.collect_set("k").alias("removed"))
+        .agg(F.collect_set(F.struct("first", "last")).alias("removed"))
     )
 
 
+def stretches(places: str) -> Column:
+    """Number of runs of neighbouring numbers."""
+    return F.size(F.array_except(F.col(places), F.transform(places, lambda at: at + 1)))
+
+
 def line_dedup(documents: DataFrame, rules: ChunkRules | None = None) -> DataFrame:
-    """The documents without repeated chunks, with `n_chunks` and `n_removed` of each.
+    """The documents without repeated passages.
 
-    The narrow list of removals is joined with the texts; only that join moves them.
+    `n_removed` counts the stretches of lines that went, `n_chunks` those and the
+    ones that stayed. The narrow list of removals is joined with the texts; only that join moves them.
     """
     rules = rules or ChunkRules()
     names = documents.columns
     doc = F.struct(*[F.col(f"`{n}`") for n in names])
     carried = documents.select(F.col("doc_id"), F.col("text"), doc.alias("doc"))
-    gone = repeated_chunks(documents, rules).select(
+    gone = repeated_lines(documents, rules).select(
         F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "removed"
     )
     keyed = carried.withColumn("row_key", F.xxhash64("doc_id", "text"))
     same = keyed["doc_id"].eqNullSafe(gone["gone_id"]) & (keyed["row_key"] == gone["gone_key"])
     joined = keyed.join(gone, same, "left").select("doc", "doc_id", "text", "removed")
-    pieces = cut(joined, rules)
-    kept = F.filter("chunks", lambda chunk: ~F.array_contains("removed", chunk["k"]))
-    lines = F.flatten(F.transform(kept, lambda chunk: slice_of("lines", chunk)))
-    left = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
+    lines = materialised(joined, "lines", lines_of(F.col("text")))
+    spans = F.transform("removed", lambda span: F.sequence(span["first"], span["last"]))
+    none = F.array().cast("array<int>")
+    placed = materialised(lines, "out", F.coalesce(F.array_distinct(F.flatten(spans)), none))
+    pieces = materialised(placed, "kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out")))
+    rest = F.array_join(F.transform("kept", lambda at: F.get("lines", at)), "\n")
     done = pieces.select(
         "doc",
-        left.alias("left"),
-        F.size("chunks").cast("long").alias("chunk_count"),
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("removed_count"),
+        F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("left"),
+        (stretches("kept") + stretches("out")).cast("long").alias("chunk_count"),
+        stretches("out").cast("long").alias("removed_count"),
     )
     own = [n for n in names if n not in ("text", "n_chars", "n_chunks", "n_removed")]
     columns = {n: F.col("doc").getField(n) for n in own}
@@ -160,7 +161,7 @@ def line_dedup(documents: DataFrame, rules: ChunkRules | None = None) -> DataFra
 
 
 def line_dedup_stage(documents: DataFrame, rules: ChunkRules | None = None) -> DataFrame:
-    """The documents without repeated chunks; those of which nothing is left go. Same columns."""
+    """The documents without repeated passages; those of which nothing is left go. Same columns."""
     result = line_dedup(documents, rules)
     emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
     return result.where(~emptied).select(*[F.col(f"`{n}`") for n in documents.columns])
