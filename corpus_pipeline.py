@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treelens.llm.jaccard import near_dedup_stage
+from treelens.llm.jaccard import JaccardRules, near_dedup_stage
 from treelens.llm.lines import line_dedup_stage
 from treelens.llm.mixing import mixing_stage, read_labels
 from treelens.llm.packing import pack
@@ -23,8 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_dedup_stage(docs)
+    """One document of each group of near copies: 0.8 and more of their runs of five words are common."""
+    return near_dedup_stage(docs, JaccardRules(n=5, percent=80))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

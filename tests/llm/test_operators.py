@@ -333,6 +333,18 @@ def test_quality(documents, empty, texts):
     assert quality(empty).count() == 0 and quality_stage(empty).count() == 0
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    # Of 96 runs of five words, 86 of 106 are common with 10 words replaced, 85 of 107 with 11.
+    def text(k, replaced):
+        return " ".join([f"w{k}x{i}" for i in range(100 - replaced)] + [f"new{k}x{i}" for i in range(replaced)])
+
+    rows = [(1, text(1, 0)), (2, text(1, 10)), (3, text(2, 0)), (4, text(2, 11))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert set(by_id(corpus_pipeline.near_dedup(spark, df, ""))) == {1, 3, 4}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
