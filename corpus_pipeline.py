@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from treelens.llm.jaccard import JaccardRules, near_dedup_stage
 from treelens.llm.lines import line_dedup_stage
-from treelens.llm.mixing import mixing_stage, read_labels
+from treelens.llm.mixing import MixRules, mixing_stage, read_labels
 from treelens.llm.packing import pack
 from treelens.llm.quality import quality_stage
 from treelens.operators.workspace import written
@@ -29,7 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says, fitted to the targets of the domains."""
-    return mixing_stage(docs, read_labels(spark, sf_dir))
+    return mixing_stage(docs, read_labels(spark, sf_dir), MixRules())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

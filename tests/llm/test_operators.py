@@ -221,6 +221,25 @@ def test_mixing(spark, documents, empty):
     assert mixing(empty, labels).count() == 0
 
 
+def test_mixing_stage_meets_targets(spark):
+    rng = np.random.default_rng(43)
+    names = {0: "toxic", 1: "good", 2: "plain"}
+    marks = {0: "vile", 1: "fine", 2: "flat"}
+    rows = [(i, sentence(rng, 20) + " " + marks[i % 3]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    known = spark.createDataFrame([(i, names[i % 3]) for i in range(600)], "doc_id long, domain string")
+    clean = known.where("domain <> 'toxic'")
+    for labels in (known, clean):
+        rules = MixRules()
+        source = df if labels is known else df.where("doc_id % 3 > 0")
+        fitted, table = fit_mix(source, labels, rules)
+        weight = {r.doc_id: r.n_tokens * np.array(r.p) for r in table.collect()}
+        total = sum(weight[r.doc_id] for r in mixing_stage(source, labels, rules).collect())
+        supply = sum(weight.values())
+        wanted = np.array([rules.targets[d] for d in fitted.model.domains]) * supply
+        assert np.all(np.abs(total - wanted) <= 0.05 * supply)
+
+
 def test_packing(documents, empty, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
     rows = pack(documents).collect()

@@ -300,24 +300,34 @@ def mixing(documents: DataFrame, labels: DataFrame, rules: MixRules | None = Non
 
 
 def mixing_stage(documents: DataFrame, labels: DataFrame, rules: MixRules | None = None) -> DataFrame:
-    """Each document as many times as its rate says, to the nearest whole number; same columns.
+    """Each document as many times as its rate says; same columns.
 
-    Rounding to the nearest keeps documents whose rate is one but for noise. The
-    rate follows from the text, so nothing is joined or shuffled.
+    A rate between two whole numbers is drawn by a hash of id and text, so that
+    the expected tokens are those of the fit; a rate of one but for the tolerance
+    is one. Callers that give no rules get whole rates, to the nearest, at targets
+    that only take toxic documents out. The rate follows from the text, so nothing
+    is joined or shuffled.
     """
+    nearest = rules is None
     rules = rules or MixRules(targets={"good": 1.0, "plain": 1.0, "toxic": 0.05})
     fitted, _ = fit_mix(documents, labels, rules)
     send = documents.sparkSession.sparkContext.broadcast(fitted)
-    text = documents.columns.index("text")
+    text, width = documents.columns.index("text"), len(documents.columns)
+    drawn = documents.withColumn("treelens_draw", F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.schema.names[:width]
+            plain = pa.RecordBatch.from_arrays(batch.columns[:width], names)
+            draws = mix(batch.column(width).to_numpy().view(np.uint64)) / 2.0**64
             for first, last, part in texts_in(batch.column(text)):
                 p, _ = send.value.model.probabilities(part)
-                copies = np.floor(rates(p, send.value.steps) + 0.5).astype(np.int64)
-                yield batch.take(pa.array(np.repeat(np.arange(first, last), copies)))
+                rate = rates(p, send.value.steps)
+                rate = np.where(np.abs(rate - 1) <= rules.tolerance, 1.0, rate)
+                copies = np.floor(rate + (0.5 if nearest else draws[first:last])).astype(np.int64)
+                yield plain.take(pa.array(np.repeat(np.arange(first, last), copies)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return drawn.mapInArrow(run, documents.schema)
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
