@@ -33,6 +33,13 @@ CASES = [
     ('{"key_symbols": null}', EMPTY, "bad_field"),
     ('{"key_symbols": [1, 2, 3]}', EMPTY | {"key_symbols": ["1", "2", "3"]}, "ok"),
     ('{"patterns": ["a", null, "b"]}', EMPTY | {"patterns": ["a", "b"]}, "ok"),
+    ('{"overview": "a", "overview": "b", "patterns": "p", "patterns": ["x"]}', EMPTY | {"overview": "b", "patterns": ["x"]}, "ok"),
+    ('{"patterns": ["x"], "patterns": 1, "overview": 2, "other": {"a": 1, "a": 2}}', EMPTY | {"overview": "2"}, "bad_field"),
+    ('{"overview": "a", "overview": null}', EMPTY, "ok"),
+    ('{"overview": "a"} and more', EMPTY, "bad_json"),
+    ('{"overview": "a", "overview": "b"} and more', EMPTY, "bad_json"),
+    ('{"overview": "a"}, {"overview": "b"}', EMPTY, "bad_json"),
+    ("{'overview': 'a', 'overview': 'b'}", EMPTY, "bad_json"),
     ('{"overview": "é \\u00e9 \\" {"}', EMPTY | {"overview": 'é é " {'}, "ok"),
 ]
 

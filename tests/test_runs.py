@@ -7,7 +7,8 @@ from test_symbols import corpus
 
 from treelens.functions.text import stored_hash
 from treelens.operators.groups import Limits
-from treelens.operators.sinks import Store, export_documents, remove_exported
+from treelens.operators.sinks import export_documents, remove_exported
+from treelens.operators.store import Store
 from treelens.operators.workspace import new_folder
 from treelens.plans.runs import adopt, generate, preview, purge
 from treelens.sources.corpus import TableCorpus, TreeCorpus

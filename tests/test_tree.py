@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from treelens.functions.ignore import IgnoreRules
 from treelens.operators.workspace import written
 from treelens.sources.corpus import TreeCorpus
-from treelens.sources.tree import list_trees, read_contents
+from treelens.functions.text import content_hash, content_size
+from treelens.sources import tree as source
+from treelens.sources.tree import Patience, digest_file, list_trees, read_contents, read_hashes, read_records
 
 FILES = {
     "__init__.py": b"", "top.py": b"import os\n", "_private/p.py": b"x = 1\n",
@@ -95,3 +97,114 @@ def test_undecodable_names_are_reported(spark, tmp_path):
     assert [r.path for r in corpus.listing.collect()] == ["good.py"]
     [row] = corpus.rejects.collect()
     assert row.path == "bad\\udcff.py" and "UTF-8" in row.read_error
+
+
+def walked(root):
+    """Files and directories as os.walk sees them, relative to the root."""
+    files, directories = set(), set()
+    for at, below, names in os.walk(root):
+        relative = os.path.relpath(at, root)
+        prefix = "" if relative == "." else relative + "/"
+        directories.add(prefix.rstrip("/"))
+        files |= {prefix + name for name in names}
+    return files, directories
+
+
+@pytest.fixture(scope="module")
+def narrow_top(tmp_path_factory):
+    """Everything below a/b, and a chain of single directories."""
+    base = tmp_path_factory.mktemp("narrow")
+    for n in range(60):
+        (base / "a" / "b" / f"d{n}" / "deep").mkdir(parents=True)
+        for name in ("x.py", "deep/y.py"):
+            (base / "a" / "b" / f"d{n}" / name).write_text(f"import m{n}\n")
+    chain = base / "chain"
+    for n in range(40):
+        chain = chain / f"c{n}"
+    chain.mkdir(parents=True)
+    (chain / "end.py").write_text("")
+    return str(base)
+
+
+@pytest.mark.parametrize(
+    "patience", [Patience(), Patience(directories=1), Patience(directories=7, found=2), Patience(entries=3)]
+)
+def test_a_listing_has_what_a_walk_sees(spark, narrow_top, patience):
+    found = kinds(list_trees(spark, [narrow_top], patience=patience))
+    files, directories = walked(narrow_top)
+    assert found == {"file": files, "dir": directories}
+
+
+def test_a_tree_that_branches_below_its_top_is_listed_by_many_tasks(spark, narrow_top, monkeypatch):
+    monkeypatch.setattr(os, "scandir", lambda at: pytest.fail(f"the driver lists {at}"))
+    entries = list_trees(spark, [narrow_top])
+    monkeypatch.undo()
+    below = entries.where("path like 'a/b/d%'").select("_metadata.file_path", "path")
+    assert below.select("file_path").distinct().count() >= 8
+    assert below.count() == 60 * 4
+
+
+def test_a_directory_can_be_listed_alone(spark, narrow_top):
+    found = kinds(list_trees(spark, [narrow_top], max_depth=2, below="a/b"))
+    assert found == {"dir": {f"a/b/d{n}" for n in range(60)}}
+    found = kinds(list_trees(spark, [narrow_top], max_depth=3, below="a/b/d7"))
+    assert found == {"dir": {"a/b/d7/deep"}, "file": {"a/b/d7/x.py"}}
+
+
+def test_hashes_and_records_of_trees_and_tables_agree(spark, tree):
+    files = list_trees(spark, [tree]).where("kind = 'file'")
+    contents = read_contents(files)
+    by_table = contents.select(
+        "path", content_size(F.col("content")).alias("size_bytes"), content_hash(F.col("content")).alias("content_hash")
+    )
+    expected = sorted(map(tuple, by_table.collect()))
+    for read in (read_hashes, read_records):
+        rows = read(files).select("path", "size_bytes", "content_hash").collect()
+        assert sorted(map(tuple, rows)) == expected
+    records = {r.path: r for r in read_records(files).collect()}
+    assert records["top.py"].imports == ["os"] and records["sub/deep/er/x.py"].parse_error is None
+    assert records["sub/a.py"].read_error is None
+
+
+def test_a_file_is_hashed_in_constant_memory(spark, tmp_path):
+    """A sparse file of 3 GiB, more than any value holds, next to a small one."""
+    with open(tmp_path / "huge.py", "wb") as stream:
+        stream.truncate(3 << 30)
+    (tmp_path / "small.py").write_text("import os")
+    files = list_trees(spark, [str(tmp_path)]).where("kind = 'file'")
+    rows = {r.path: r for r in read_records(files).collect()}
+    assert rows["huge.py"].size_bytes == 3 << 30 and rows["huge.py"].parse_error == source.TOO_LONG_TO_PARSE
+    assert rows["huge.py"].read_error is None and rows["small.py"].imports == ["os"]
+    [row] = read_contents(files.where("path = 'huge.py'")).collect()
+    assert row.content is None and "larger than" in row.read_error
+
+
+def test_a_digest_holds_one_chunk_at_a_time(tmp_path, monkeypatch):
+    import tracemalloc
+
+    content = bytes(range(256)) * (1 << 14)
+    file = tmp_path / "file"
+    file.write_bytes(content * 16)
+    monkeypatch.setattr(source, "CHUNK_BYTES", 1 << 16)
+    tracemalloc.start()
+    size, digest, kept = digest_file(str(file), keep=1 << 20)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size == len(content) * 16 and kept is None and peak < 4 << 20
+    assert digest == __import__("hashlib").sha256(content * 16).hexdigest()
+    assert digest_file(str(file), keep=size)[2] == content * 16
+
+
+def test_bytes_are_dealt_out_by_size(spark, tmp_path):
+    from treelens.operators.bundles import in_bundles
+
+    sizes = [1 << (n % 12) for n in range(400)] + [3000] * 20
+    rows = spark.createDataFrame([(n, size) for n, size in enumerate(sizes)], "n long, size long").repartition(7)
+    dealt = in_bundles(rows, F.col("size"), 5000).withColumn("task", F.spark_partition_id())
+    loads = [r.load for r in dealt.groupBy("task").agg(F.sum("size").alias("load")).collect()]
+    assert sum(loads) == sum(sizes) and dealt.select("n").distinct().count() == len(sizes)
+    assert max(loads) <= 5000 + max(sizes) and max(loads) <= 2 * sum(loads) / len(loads)
+    few = in_bundles(rows, F.col("size"), 1 << 40, least=8).withColumn("task", F.spark_partition_id())
+    loads = [r.load for r in few.groupBy("task").agg(F.sum("size").alias("load")).collect()]
+    assert len(loads) >= 8 and max(loads) <= 2 * sum(loads) / len(loads)
+    assert in_bundles(rows.limit(0), F.col("size"), 10).count() == 0

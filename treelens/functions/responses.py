@@ -48,16 +48,32 @@ def clean_answer(raw: Column) -> Column:
     return F.when(text.startswith(fence), closed).otherwise(text)
 
 
+def parsed_answer(text: Column) -> Column:
+    """The one JSON value a text holds, as a variant; NULL if it is not valid JSON.
+
+    Inside of brackets nothing may follow the value. A text with a repeated key
+    is read again by fields, of which the last one counts.
+    """
+    listed = F.concat(F.lit("["), text, F.lit("]"))
+    fields = ", ".join(f"{field}: variant" for field in ("overview", *LIST_FIELDS))
+    strict_json = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    by_field = F.to_json(F.from_json(listed, f"array<struct<{fields}>>", strict_json))
+    values = F.coalesce(F.try_parse_json(listed), F.try_parse_json(by_field))
+    values = F.try_variant_get(values, "$", "array<variant>")
+    return F.when(F.size(values) == 1, F.get(values, 0))
+
+
 def validate_answers(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add `summary`, always complete, and `parse_status` for a column of answers.
 
     The status is `ok`, `bad_json`, `not_object`, or `bad_field` when a list
     field holds something else. An empty or missing answer counts as `{}`.
-    List items become strings and nulls among them are dropped.
+    Of a repeated key the last one counts. List items become strings and nulls
+    among them are dropped.
     """
     given = F.coalesce(F.nullif(F.col(raw), F.lit("")), F.lit("{}"))
     cleaned = df.withColumn("_text", clean_answer(given))
-    parsed = cleaned.withColumn("_answer", F.try_parse_json("_text"))
+    parsed = cleaned.withColumn("_answer", parsed_answer(F.col("_text")))
     answer = F.col("_answer")
     # Valid JSON without blanks in front is an object exactly if it starts like one.
     is_object = answer.isNotNull() & F.col("_text").startswith("{")

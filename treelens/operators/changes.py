@@ -18,14 +18,18 @@ MANIFEST = (
 DIRECTORY = ["root", "dir"]
 
 
-def current_manifest(manifest: DataFrame) -> DataFrame:
-    """Latest state of every directory that still has a document.
-
-    The manifest only grows; the newest row per directory counts.
-    """
-    state = F.struct("generated_at", "deleted", "content_hash", "summary_status", "run_id")
+def newest_rows(manifest: DataFrame) -> DataFrame:
+    """The newest row of every directory; a removed one is marked deleted."""
+    rest = [name for name in manifest.columns if name not in (*DIRECTORY, "generated_at", "deleted")]
+    state = F.struct("generated_at", "deleted", *rest)
     latest = manifest.groupBy(*DIRECTORY).agg(F.max(state).alias("state"))
-    return latest.select(*DIRECTORY, "state.*").where(~F.col("deleted")).drop("deleted")
+    return latest.select(*DIRECTORY, "state.*").select(*manifest.columns)
+
+
+def current_manifest(manifest: DataFrame) -> DataFrame:
+    """Latest state of every directory that still has a document."""
+    kept = [*DIRECTORY, "generated_at", "content_hash", "summary_status", "run_id"]
+    return newest_rows(manifest).where(~F.col("deleted")).select(*kept)
 
 
 def change_status(

@@ -64,13 +64,23 @@ def _kept() -> list[Column]:
     return [((F.count("name") > 0) | F.coalesce(F.bool_or("marked"), F.lit(False))).alias("kept")]
 
 
-def directory_hashes(files: DataFrame, limits: Limits = Limits()) -> DataFrame:
+def directory_hashes(
+    files: DataFrame,
+    limits: Limits = Limits(),
+    save: Callable[[DataFrame, str], DataFrame] = written,
+) -> DataFrame:
     """File count, total size and combined hash per directory.
 
-    Takes rows with `root`, `dir`, `name`, `size_bytes` and `content_hash`.
+    Takes rows with `root`, `dir`, `name`, `size_bytes` and `content_hash`. If
+    directories are beyond the limits, these rows are kept with `save`, hashes
+    as 32 bytes, and all the rest reads them there.
     """
     files = files.select(*DIRECTORY, "name", "size_bytes", "content_hash")
     split = split_by_size(files, DIRECTORY, limits)
+    if split.oversized is not None:
+        packed = save(files.withColumn("content_hash", F.unhex("content_hash")), "digests")
+        files = packed.withColumn("content_hash", F.lower(F.hex("content_hash")))
+        split = split_by_size(files, DIRECTORY, limits)
     gathered = (
         split.bounded.groupBy(*DIRECTORY)
         .agg(*_totals(), _in_name_order("name", "content_hash").alias("files"))

@@ -1,62 +1,18 @@
-"""Where documents go: tables, and optionally one text file per directory."""
+"""Documents as text files, one per directory."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from dataclasses import dataclass
 from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treelens.functions.ignore import DOCUMENT_NAME
-from treelens.operators.changes import MANIFEST, current_manifest
 from treelens.operators.groups import task_count
 
-DOCUMENTS = (
-    "root string, dir string, content_hash string, summary_status string, error string, "
-    "section int, start string, markdown string, run_id string"
-)
-
-
-@dataclass(frozen=True)
-class Store:
-    """Append-only tables of documents and of the manifest, one folder per run.
-
-    A run's folder is written whole or not at all, and never one that the same
-    plan reads. The manifest comes last: until it is there, the run has not
-    happened, and the next run repeats it.
-    """
-
-    path: str
-
-    def _table(self, spark: SparkSession, name: str, schema: str) -> DataFrame:
-        folder = f"{self.path}/{name}"
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        if not files.getFileSystem(conf).exists(files):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(folder)
-
-    def manifest(self, spark: SparkSession) -> DataFrame:
-        return self._table(spark, "manifest", MANIFEST)
-
-    def documents(self, spark: SparkSession) -> DataFrame:
-        """Latest documents of all directories that still have one."""
-        latest = current_manifest(self.manifest(spark)).select("root", "dir", "run_id")
-        every = self._table(spark, "documents", DOCUMENTS)
-        return every.join(latest, ["root", "dir", "run_id"], "left_semi")
-
-    def written_by(self, spark: SparkSession, run_id: str) -> DataFrame:
-        """Documents of one run."""
-        every = self._table(spark, "documents", DOCUMENTS)
-        return every.where(F.col("run_id") == run_id)
-
-    def append(self, df: DataFrame, table: str, run_id: str) -> None:
-        df.drop("run_id").write.mode("overwrite").parquet(f"{self.path}/{table}/run_id={run_id}")
-
 
 def mounted(folder: str) -> str:
     """The path of a folder that is mounted on all executors; other file systems are refused."""

@@ -16,9 +16,11 @@ from treelens.functions.responses import empty_summary, no_items, validate_answe
 from treelens.functions.sections import whole_text
 from treelens.functions.text import valid_text
 from treelens.operators.groups import task_count
+from treelens.operators.journal import BUCKET, Journal
 from treelens.operators.pieces import whole_texts
 from treelens.operators.records import as_json, closed_record, directory_struct, record_layout
 from treelens.operators.rollup import Directories
+from treelens.operators.sinks import mounted
 from treelens.operators.workspace import written
 
 # A summariser takes the messages of one directory, or its record as a dict, and
@@ -89,6 +91,7 @@ def ask(
     retry_delay: float = 1.0,
     partitions: int | None = None,
     request: str = "messages",
+    journal: str | None = None,
 ) -> DataFrame:
     """Answers for rows of `root`, `dir` and the `request`: `messages` or `record`.
 
@@ -96,7 +99,9 @@ def ask(
     long each time. What still fails becomes an `error`; the job goes on.
     `partitions` bounds the calls in flight; the default is one per shuffle
     partition. Calls cost and may differ when repeated: write the result before
-    using it.
+    using it. With `journal`, a mounted folder for one kind of summariser, every
+    answer is kept there at once, and a request that has one is not sent: not by
+    a task that is repeated, and not by a later run.
     """
 
     def attempt_all(get: Callable[[], Summarizer], sent: object) -> tuple:
@@ -122,16 +127,36 @@ def ask(
                 made.append(factory())
             return made[0]
 
-        for batch in batches:
-            out = [
-                (root, directory, *(attempt_all(get, json.loads(sent)) if sent else too_large))
-                for root, directory, sent in zip(batch["root"], batch["dir"], batch["sent"])
-            ]
-            yield pd.DataFrame(out, columns=["root", "dir", "raw", "attempts", "error"])
-
+        def answered(key: str, sent: str | None) -> tuple:
+            if not sent:
+                return too_large
+            known = None if kept is None else kept.get(key)
+            if known is not None:
+                return known, 0, None
+            raw, attempts, error = attempt_all(get, json.loads(sent))
+            if kept is not None and error is None:
+                kept.put(key, raw)
+            return raw, attempts, error
+
+        kept = None if base is None else Journal(base)
+        try:
+            for batch in batches:
+                columns = (batch[name] for name in ("root", "dir", "key", "sent"))
+                out = [(root, directory, *answered(key, sent)) for root, directory, key, sent in zip(*columns)]
+                yield pd.DataFrame(out, columns=["root", "dir", "raw", "attempts", "error"])
+        finally:
+            if kept is not None:
+                kept.close()
+
+    base = None if journal is None else mounted(journal)
     asked = F.col(request) if request == "record" else F.to_json(request)
-    sent = prompted.select("root", "dir", asked.alias("sent"))
-    sent = sent.repartition(partitions or task_count(sent), "root", "dir")
+    sent = prompted.select("root", "dir", F.sha2(asked, 256).alias("key"), asked.alias("sent"))
+    tasks = partitions or task_count(sent)
+    if base is None:
+        sent = sent.repartition(tasks, "root", "dir")
+    else:
+        # A task has whole buckets of the journal and reads them one after the other.
+        sent = sent.repartition(tasks, F.left("key", F.lit(BUCKET))).sortWithinPartitions("key")
     return sent.mapInPandas(answers, ANSWERS)
 
 

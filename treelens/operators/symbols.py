@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import ast
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +24,7 @@ METADATA = (
     "module_docstring string, functions array<string>, classes array<string>, "
     "imports array<string>, parse_error string"
 )
-_ARROW = pa.struct(
+ARROW_METADATA = pa.schema(
     [
         ("module_docstring", pa.string()),
         ("functions", pa.list_(pa.string())),
@@ -33,11 +33,21 @@ _ARROW = pa.struct(
         ("parse_error", pa.string()),
     ]
 )
+_ARROW = pa.struct(list(ARROW_METADATA))
 # Remembered results per task: enough for vendored copies, small in memory.
 _MEMORY = 4096
 _LONG_TEXT = 1 << 20
 
 
+def source_text(content: bytes) -> str:
+    """Bytes as UTF-8, else latin-1, with newlines; the same as `decode_source`."""
+    try:
+        text = content.decode()
+    except UnicodeDecodeError:
+        text = content.decode("latin-1")
+    return text.replace("\r\n", "\n").replace("\r", "\n")
+
+
 def module_metadata(source: str | None) -> dict:
     """Docstring, top-level names and imported modules of one source text."""
     found = {"module_docstring": None, "functions": [], "classes": [], "imports": []}
@@ -70,21 +80,28 @@ def module_metadata(source: str | None) -> dict:
     }
 
 
+class Parser:
+    """Parses contents, each one once as long as it is remembered by its hash."""
+
+    def __init__(self):
+        self.known: dict[str | None, dict] = {}
+
+    def found(self, digest: str | None, source: Callable[[], str | None]) -> dict:
+        row = self.known.get(digest)
+        if row is None:
+            text = source()
+            row = module_metadata(text)
+            if len(self.known) >= _MEMORY:
+                self.known.clear()
+            if text is None or len(text) < _LONG_TEXT:
+                self.known[digest] = row
+        return row
+
+
 def _metadata(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    known: dict[str, dict] = {}
+    parser = Parser()
     for hashes, sources in batches:
-        rows = []
-        for digest, source in zip(hashes, sources):
-            key = digest.as_py()
-            row = known.get(key)
-            if row is None:
-                text = source.as_py()
-                row = module_metadata(text)
-                if len(known) >= _MEMORY:
-                    known.clear()
-                if text is None or len(text) < _LONG_TEXT:
-                    known[key] = row
-            rows.append(row)
+        rows = [parser.found(key.as_py(), text.as_py) for key, text in zip(hashes, sources)]
         yield pa.array(rows, _ARROW)
 
 

@@ -217,6 +217,11 @@ ORACLE: dict[str, str] = {
     "scan_rejects": f"""WITH {CODE_FILES}
     SELECT path, strlen(content) AS length, 'larger than 130 bytes' AS read_error
     FROM code WHERE strlen(content) > 130""",
+    "scan_unreadable": f"""WITH {CODE_FILES},
+    seen AS (SELECT *, path LIKE 'brand_7/%/p_%1.py' AS gone FROM code)
+    SELECT path, CASE WHEN NOT gone THEN strlen(content) END AS size_bytes,
+        CASE WHEN NOT gone THEN sha256(content) END AS content_hash,
+        CASE WHEN gone THEN '[Errno 2] No such file or directory' END AS read_error FROM seen""",
     "stored_hash_parse": """SELECT doc_id,
     CASE WHEN doc_id % 5 < 2 THEN sha256(text) END AS stored_hash FROM documents""",
     "suffix_filter": f"""WITH {PAGES}, named AS (SELECT path, {PATH_PARTS} FROM web)
@@ -361,7 +366,7 @@ ORACLE: dict[str, str] = {
     array_to_string(key_symbols, ',') AS key_symbols, '' AS patterns, '' AS tribal_knowledge
     FROM summarized""",
     "render_document": f"WITH {WITH_SUMMARY} SELECT root, dir, content_hash, markdown FROM documents_",
-    "render_large": f"""WITH {WITH_SUMMARY} SELECT root, dir, content_hash,
+    "render_large": f"""WITH {WITH_SUMMARY} SELECT root, dir, sha256(markdown) AS text_hash,
     length(markdown) AS characters FROM documents_""",
     "render_no_summary": f"WITH {NO_SUMMARY} SELECT root, dir, content_hash, markdown FROM documents_",
     "render_custom": f"""WITH {CODE_DIRS} SELECT root, dir, concat('= ', dir_name, ' =', chr(10),
@@ -391,4 +396,9 @@ ORACLE: dict[str, str] = {
     "purge_listing": f"""WITH {ALL}, {_hashed('corpus')}, {DIRS}, {MANIFEST}
     SELECT root, dir FROM stored
     WHERE root = 'web' OR (root = 'docs' AND (dir = 'src3' OR dir LIKE 'src3/%'))""",
+    "purge_effect": f"""WITH {CODE_DIRS},
+    judged AS (SELECT root, dir, dir = 'brand_1' OR dir LIKE 'brand_1/%' AS gone FROM dirs)
+    SELECT root, dir, true AS stored, true AS exported,
+        (SELECT count(*) FILTER (gone) FROM judged) AS deleted, CAST(0 AS BIGINT) AS failed
+    FROM judged WHERE NOT gone""",
 }

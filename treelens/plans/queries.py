@@ -6,8 +6,10 @@ Arrays are shown as joined text, so that results compare by value.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable
 from datetime import datetime, timezone
+from glob import glob
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,7 @@ from treelens.operators.listing import (
     sorted_listing as sort_listing,
     with_path_parts,
 )
-from treelens.operators.pieces import whole_texts
+from treelens.operators.pieces import text_digests, whole_texts
 from treelens.operators.records import (
     as_json,
     directory_flags,
@@ -49,7 +51,8 @@ from treelens.operators.records import (
 )
 from treelens.operators.render import render, render_variables, shortened
 from treelens.operators.rollup import Directories, directory_hashes, directory_records, with_roots
-from treelens.operators.sinks import Store, export_documents as write_documents, export_files
+from treelens.operators.sinks import export_documents as write_documents, export_files
+from treelens.operators.store import Store
 from treelens.operators.summaries import (
     ask,
     attach_summaries,
@@ -66,7 +69,7 @@ from treelens.operators.symbols import symbols
 from treelens.operators.workspace import new_folder, written
 from treelens.plans import runs, views
 from treelens.sources.corpus import TableCorpus
-from treelens.sources.tree import list_trees, read_contents
+from treelens.sources.tree import list_trees, read_contents, read_hashes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -189,22 +192,32 @@ def _exported_code(spark: SparkSession, folder: str) -> str:
 @query("scan_tree")
 def scan_tree(spark: SparkSession, folder: str) -> DataFrame:
     root = f"{_exported_code(spark, folder)}/code"
-    entries = written(list_trees(spark, [root]), "entries")
-    contents = read_contents(entries.where(F.col("kind") == "file"))
-    return contents.select(
-        "path", "length", content_hash(F.col("content")).alias("content_hash")
-    )
+    entries = list_trees(spark, [root])
+    read = read_hashes(entries.where(F.col("kind") == "file"))
+    return read.select("path", F.col("size_bytes").alias("length"), "content_hash")
 
 
 @query("scan_rejects")
 def scan_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """Files over the size limit of the scan are reported, not read."""
     root = f"{_exported_code(spark, folder)}/code"
-    entries = written(list_trees(spark, [root]), "entries")
+    entries = list_trees(spark, [root])
     contents = read_contents(entries.where(F.col("kind") == "file"), max_file_bytes=130)
     return contents.where(F.col("read_error").isNotNull()).select("path", "length", "read_error")
 
 
+@query("scan_unreadable")
+def scan_unreadable(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that went between listing and reading are reported, the others are hashed."""
+    target = _exported_code(spark, folder)
+    root = f"{target}/code"
+    listed = list_trees(spark, [root]).where(F.col("kind") == "file")
+    for gone in glob(f"{root}/brand_7/*/p_*1.py"):
+        os.unlink(gone)
+    error = F.regexp_replace("read_error", ": .*", "")
+    return read_hashes(listed).select("path", "size_bytes", "content_hash", error.alias("read_error"))
+
+
 @query("stored_hash_parse")
 def stored_hash_parse(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.table(spark, folder, "documents").select("doc_id", "text")
@@ -540,11 +553,9 @@ def render_document(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("render_large")
 def render_large(spark: SparkSession, folder: str) -> DataFrame:
-    """Length of documents when many are beyond the limits and come in several rows."""
+    """Whole documents, by their hash, when many are beyond the limits and come in several rows."""
     directories = summarize(_directories(spark, folder, Limits(rows=16)), "extractive")
-    return render(directories, STAMP).groupBy("root", "dir", "content_hash").agg(
-        F.sum(F.char_length("markdown")).alias("characters")
-    )
+    return text_digests(render(directories, STAMP))
 
 
 @query("render_no_summary")
@@ -659,3 +670,22 @@ def purge_list(spark: SparkSession, folder: str) -> DataFrame:
     docs = purge_listing(current, "docs", "src3")
     return docs.unionByName(purge_listing(current, "web")).select("root", "dir")
 
+
+
+@query("purge_effect")
+def purge_effect(spark: SparkSession, folder: str) -> DataFrame:
+    """What a purge leaves behind: documents, files, and counts of what it removed."""
+    store, target = Store(new_folder(spark, "store")), new_folder(spark, "purged")
+    runs.generate(TableCorpus(views.code(spark, folder)), store, ignore=())
+    written(write_documents(store.documents(spark), target), "exported")
+    gone = runs.purge(store, spark, "code", "brand_1", folder=target)
+    counts = gone.agg(
+        F.count_if(F.col("error").isNull()).alias("deleted"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"),
+    )
+    left = store.documents(spark).select("root", "dir").withColumn("stored", F.lit(True))
+    found = list_trees(spark, [f"{target.removeprefix('file:')}/code"]).where(F.col("kind") == "file")
+    files = with_path_parts(found.select(F.lit("code").alias("root"), "path"))
+    files = files.select("root", "dir").withColumn("exported", F.lit(True))
+    both = left.join(files, ["root", "dir"], "full").crossJoin(F.broadcast(counts))
+    return both.select("root", "dir", "stored", "exported", "deleted", "failed")
