@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from treelens.operators.workspace import written
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)))).first()
-    return tuple(row)
-
-
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """`node` and the smallest node it is connected with, for nodes that are not smallest themselves.
 
@@ -20,27 +15,29 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     neighbours, then its smaller ones, to the smallest node it knows. Links only
     get fewer, long chains halve, and each step is a partial aggregate and a
     join that Spark may split. Every round is written, so a lost executor costs
-    its tasks only.
+    its tasks only. The last round is the one that has as many links as the one
+    before and none that it had not.
     """
     # The larger node stands in u.
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     edges = written(edges.distinct(), "links")
-    known = fingerprint(edges)
-    while known[0]:
+    count = edges.count()
+    while count:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("low"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u").select("u", "v", "low")
-        edges = written(
+        after = written(
             small.select("u", F.col("low").alias("v"))
             .unionByName(small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")))
             .distinct(),
             "links",
         )
-        after = fingerprint(edges)
-        if after == known:
+        left = after.count()
+        settled = left == count and after.join(edges, ["u", "v"], "left_anti").isEmpty()
+        edges, count = after, left
+        if settled:
             break
-        known = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -46,7 +46,8 @@ class JaccardRules:
     `common_*` set which n-grams are known to be common, for the order and for
     dealing them out; `block` is the most classes multiplied at once; `hubs` is
     how many of a posting the first round multiplies the others with; `listed`
-    is the most rows of ids that are sent to all tasks instead of shuffled.
+    is the most rows of ids that are sent to all tasks instead of shuffled;
+    `pairs_held` is how many pairs a task adds up before it hands them on.
     """
 
     n: int = 4
@@ -56,6 +57,7 @@ class JaccardRules:
     block: int = 1024
     hubs: int = 32
     listed: int = 1_000_000
+    pairs_held: int = 400_000
 
 
 def listed(df: DataFrame, rules: JaccardRules) -> DataFrame:
@@ -227,6 +229,36 @@ def promising(pairs: DataFrame, rules: JaccardRules) -> DataFrame:
     return pairs.where(enough)
 
 
+class Overlaps:
+    """Overlaps of pairs, added up in a bounded table."""
+
+    NAMES = ["a", "n_a", "b", "n_b", "c"]
+
+    def __init__(self, most: int):
+        self.most, self.parts, self.size = most, [], 0
+
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Take pairs; gives rows back if there are too many different ones."""
+        if len(columns[0]):
+            self.parts.append(pa.table(list(columns), self.NAMES))
+            self.size += len(columns[0])
+        if self.size > 2 * self.most:
+            self._combine()
+            if self.size > self.most:
+                yield from self.taken()
+
+    def _combine(self) -> None:
+        total = pa.concat_tables(self.parts).group_by(self.NAMES[:4]).aggregate([("c", "sum")])
+        total = total.rename_columns([*self.NAMES[:4], "c"]).select(self.NAMES)
+        self.parts, self.size = [total], total.num_rows
+
+    def taken(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._combine()
+            yield from self.parts[0].combine_chunks().to_batches(max_chunksize=1 << 16)
+        self.parts, self.size = [], 0
+
+
 def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules) -> DataFrame:
     """Promising pairs `a` < `b` of classes with different labels in a posting.
 
@@ -270,24 +302,37 @@ def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules)
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each block, from rows sorted by block."""
+        """Pairs of each block with their overlaps, from rows sorted by block.
+
+        Overlaps are added up over all the blocks of a task as long as its
+        pairs are not too many, so a pair leaves a task about once.
+        """
         held: pa.Table | None = None
+        sums = Overlaps(rules.pairs_held)
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             key = [table.column(c).to_numpy() for c in ("gram", "i", "j")]
             starts = np.append(0, 1 + np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)))
-            yield from products(table, starts)
+            yield from products(table, starts, sums)
             held = table.slice(starts[-1])
         if held is not None:
-            yield from products(held, np.array([0, held.num_rows]))
+            yield from products(held, np.array([0, held.num_rows]), sums)
+        yield from sums.taken()
 
-    def products(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def products(table: pa.Table, starts: np.ndarray, sums: Overlaps) -> Iterator[pa.RecordBatch]:
+        if len(starts) < 2:
+            return
         ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
         left = table.column("left").to_numpy(zero_copy_only=False)
         diagonal = table.column("i").to_numpy() == table.column("j").to_numpy()
-        found, size = [], 0
-        for first, last in zip(starts, starts[1:], strict=False):
+        # N-grams of one passage have the same list of classes: it is multiplied once, for all of them.
+        sides = mix(ids.view(np.uint64) * np.uint64(2) + left)
+        lists = np.add.reduceat(sides, starts[:-1])
+        kind = np.stack([lists, np.diff(starts).astype(np.uint64), diagonal[starts[:-1]].astype(np.uint64)], 1)
+        _, chosen, weights = np.unique(kind, axis=0, return_index=True, return_counts=True)
+        for block, weight in zip(chosen, weights, strict=True):
+            first, last = starts[block], starts[block + 1]
             own = np.arange(first, last)
             a, b = (own, own) if diagonal[first] else (own[left[first:last]], own[~left[first:last]])
             a = a[:most]
@@ -297,21 +342,8 @@ def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules)
                 fits = 100 * np.minimum(n[p], n[q]).astype(np.int64) >= rules.percent * np.maximum(n[p], n[q]).astype(np.int64)
                 p, q = p[apart & fits], q[apart & fits]
                 swap = ids[p] > ids[q]
-                found.append((np.where(swap, q, p), np.where(swap, p, q)))
-                size += len(p)
-                if size > 1_000_000:
-                    yield summed(ids, n, found)
-                    found, size = [], 0
-        if size:
-            yield summed(ids, n, found)
-
-    def summed(ids: np.ndarray, n: np.ndarray, found: list) -> pa.RecordBatch:
-        """Overlaps of the pairs so far, added up."""
-        p, q = (np.concatenate([f[k] for f in found]) for k in range(2))
-        pairs = pa.table({"a": ids[p], "n_a": n[p], "b": ids[q], "n_b": n[q], "one": np.ones(len(p), np.int64)})
-        total = pairs.group_by(["a", "n_a", "b", "n_b"]).aggregate([("one", "sum")]).combine_chunks()
-        columns = [total.column(c).combine_chunks() for c in ("a", "n_a", "b", "n_b", "one_sum")]
-        return pa.RecordBatch.from_arrays(columns, ["a", "n_a", "b", "n_b", "c"])
+                p, q = np.where(swap, q, p), np.where(swap, p, q)
+                yield from sums.add(ids[p], n[p], ids[q], n[q], np.full(len(p), weight, np.int64))
 
     # N-grams of one passage have about the same classes: dealt out by the smallest
     # one they meet in a task, which adds their overlaps up before they are shuffled.
@@ -402,8 +434,8 @@ def near_documents(documents: DataFrame, rules: JaccardRules | None = None) -> D
 def near_dedup_stage(documents: DataFrame, rules: JaccardRules | None = None) -> DataFrame:
     """The document with the smallest id of each component; same columns.
 
-    Rows that repeat an id are one document, of which the first row in order of
-    its text stays.
+    Rows that repeat an id are one document, of which the row with the smallest
+    hash of its text, then text, then hash of the row stays.
     """
     rules = rules or JaccardRules()
     found = near_documents(documents, rules)
@@ -415,8 +447,11 @@ def near_dedup_stage(documents: DataFrame, rules: JaccardRules | None = None) ->
     if twice.isEmpty():
         return kept.select(*documents.columns)
     single = kept.join(listed(twice, rules), "doc_id", "left_anti").select(*documents.columns)
-    doubled = kept.join(listed(twice, rules), "doc_id", "left_semi").select(*documents.columns)
-    return single.unionByName(doubled.dropDuplicates(["doc_id"]))
+    doubled = kept.join(listed(twice, rules), "doc_id", "left_semi")
+    columns = [F.col(f"`{name}`") for name in documents.columns]
+    order = F.struct(F.xxhash64("text"), F.col("text"), F.xxhash64(*columns))
+    first = doubled.groupBy("doc_id").agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return single.unionByName(first.select("row.*"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
