@@ -213,10 +213,15 @@ def test_mixing(spark, documents, empty):
     p = np.array(got.p.tolist())
     total = (got.n_tokens.to_numpy() * rates(p, fitted.steps)) @ p
     assert np.allclose(total, fitted.wanted, rtol=0.05)
+    assert np.all(np.abs(fitted.reached - fitted.wanted) <= 0.01 * fitted.wanted)
     by = mixing(df, labels, rules).toPandas()
     assert by[by.doc_id % 3 == 0].rate.max() < 0.5 < by[by.doc_id % 3 == 1].rate.min()
-    stage = mixing_stage(df.withColumn("p", df.doc_id), labels)
-    assert {r.doc_id % 3 for r in stage.collect()} == {1, 2}
+    clashing = df.withColumn("p", df.doc_id).withColumn("treelens_draw", df.doc_id).withColumn("draw", df.doc_id)
+    stage = mixing_stage(clashing, labels)
+    assert stage.columns == clashing.columns
+    kept = Counter(r.doc_id % 3 for r in stage.collect() if r.treelens_draw == r.draw == r.doc_id)
+    whole = Counter(r.doc_id % 3 for r in df.select("doc_id").collect())
+    assert kept[0] <= 0.2 * whole[0] and kept[1] >= 0.9 * whole[1] and 0.3 * whole[2] <= kept[2] <= 0.7 * whole[2]
     assert mixing(documents, labels.limit(0)).count() == documents.count()
     assert mixing(empty, labels).count() == 0
 
@@ -286,6 +291,27 @@ def test_warc_round_trip(spark):
     assert read_archives(write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_references_name_records(spark):
+    import gzip
+
+    big, tied = "é<p>" * 3000, "tie" * 900
+    rows = [(1, big), (2, big), (None, big), (5, tied), (5, tied), (4, tied), (None, "n" * 2000), (None, "n" * 2000), (8, "s"), (8, "s")]
+    pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'http://a' AS url")
+    stored = write_archives(pages.repartition(3), WarcRules(segment=700))
+    data = b"".join(gzip.decompress(bytes(r.content)) for r in stored.collect())
+    heads = [h for h in data.split(b"\r\n\r\n") if h.startswith(b"WARC/1.1")]
+    ids = [h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads]
+    assert len(ids) == len(set(ids)) and sum(b"Type: warcinfo" in h for h in heads) == stored.count()
+    responses = {i for h, i in zip(heads, ids) if b"WARC-Type: response" in h}
+    told = [h.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for h in heads if b"WARC-Refers-To: " in h]
+    assert len(told) == 2 and set(told) <= responses
+    found = Counter((r.page_id, r.record_type, r.refers_to) for r in read_archives(stored).collect())
+    assert found == Counter({
+        (1, "revisit", 2): 1, (None, "revisit", 2): 1, (2, "response", None): 1, (5, "response", None): 2,
+        (4, "revisit", 5): 1, (None, "response", None): 2, (8, "response", None): 2,
+    })
+
+
 def test_warc_missing_segment_is_told(spark):
     from treelens.llm.warc import assembled, records, write_archives as write
 

@@ -17,6 +17,7 @@ An empty table gives an empty result. Columns are carried along as they are.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,12 @@ MARK = byte_class(b"!#$%&*<>|=~^@")
 
 @dataclass(frozen=True)
 class MixRules:
-    """Target of each domain as a multiple of its expected tokens; sample and model size; steps."""
+    """Target of each domain as a multiple of its expected tokens; sample and model size; steps.
+
+    The fit ends where all totals are within `tolerance` of their targets, as a
+    share of the domain's tokens, and warns if it cannot get there. Rates within
+    `snap` of one count as one where documents are drawn.
+    """
 
     targets: dict[str, float] = field(default_factory=lambda: {"good": 1.0, "plain": 0.5, "toxic": 0.05})
     sample: int = 8000
@@ -47,8 +53,9 @@ class MixRules:
     min_score: float = 10.0
     epochs: int = 200
     decay: float = 1e-4
-    steps: int = 30
-    tolerance: float = 1e-3
+    steps: int = 60
+    tolerance: float = 1e-4
+    snap: float = 1e-3
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -213,50 +220,55 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def sums(table: DataFrame, width: int, steps: list[np.ndarray], squares: bool = False) -> np.ndarray:
-    """Expected tokens of each domain after `steps`; with `squares` the matrix of n p p' instead."""
+def sums(table: DataFrame, width: int, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after `steps`, and the matrix of n p p' over documents with a rate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width) if squares else width)
+        total, moment = np.zeros(width), np.zeros((width, width))
         for batch in batches:
             p, n = matrix(batch.column(1), width), batch.column(0).to_numpy().astype(float)
-            total += (p * n[:, None]).T @ p if squares else (n * rates(p, steps)) @ p
-        flat = total.ravel()
+            rate = rates(p, steps)
+            total += (n * rate) @ p
+            moment += (p * (n * (rate > 0))[:, None]).T @ p
+        flat = np.concatenate([total, moment.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["i", "v"])
 
     parts = table.select("n_tokens", "p").mapInArrow(run, "i long, v double")
-    out = np.zeros(width * width if squares else width)
+    out = np.zeros(width + width * width)
     for row in parts.groupBy("i").agg(F.sum("v").alias("v")).collect():
         out[row.i] = row.v
-    return out.reshape(width, width) if squares else out
+    return out[:width], out[width:].reshape(width, width)
 
 
 def fit_rates(table: DataFrame, domains: list[str], rules: MixRules) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Steps of projected gradient descent; also the targets and what they came to.
 
-    Step lengths follow from two successive gradients. The squared distance is
-    measured per domain relative to its supply, so that small domains count.
+    A step is the gradient of the squared distance to the targets, measured in
+    the metric in which it would reach them at once if no rate came to zero: the
+    moments of the documents that still have one. A step that leads further away
+    is taken again in the metric of all documents, in which none does.
     """
     k = len(domains)
-    supply = sums(table, k, [])
+    supply, whole = sums(table, k, [])
     wanted = np.array([rules.targets.get(d, 1.0) for d in domains]) * supply
-    scale = 1 / np.maximum(supply, 1.0)
-    moment = sums(table, k, [], squares=True)
-    curved = scale[:, None] * moment * scale[None, :]
-    longest = 1 / max(float(np.linalg.eigvalsh(curved)[-1]), 1e-300)
     steps: list[np.ndarray] = []
-    now, length, last = supply, longest, None
-    for _ in range(rules.steps):
-        residual = scale * (now - wanted)
-        if np.abs(residual).max() <= rules.tolerance:
-            break
-        if last is not None:
-            change = residual - last
-            bend = change @ curved @ change
-            # Steps are bounded: rates at zero make the surface flatter than the whole.
-            length = min(max(change @ change / bend, longest), 1000 * longest) if bend > 0 else longest
-        steps.append(length * scale * residual)
-        now, last = sums(table, k, steps), residual
+    now, moment = supply, whole
+
+    def apart(reached: np.ndarray) -> float:
+        return float(np.max(np.abs(reached - wanted) / np.maximum(supply, 1.0), initial=0.0))
+
+    while apart(now) > rules.tolerance and len(steps) < rules.steps:
+        tried = [*steps, np.linalg.lstsq(moment, now - wanted, rcond=1e-12)[0]]
+        after, left = sums(table, k, tried)
+        if apart(after) > apart(now):
+            tried = [*steps, np.linalg.lstsq(whole, now - wanted, rcond=1e-12)[0]]
+            after, left = sums(table, k, tried)
+            if apart(after) >= apart(now):
+                break
+        steps, now, moment = tried, after, left
+    if apart(now) > rules.tolerance:
+        told = ", ".join(f"{d}: {r:.6g} of {w:.6g}" for d, r, w in zip(domains, now, wanted))
+        warnings.warn(f"no rates come to within {rules.tolerance} of the targets; expected tokens are {told}", stacklevel=2)
     return steps, wanted, now
 
 
@@ -303,17 +315,16 @@ def mixing_stage(documents: DataFrame, labels: DataFrame, rules: MixRules | None
     """Each document as many times as its rate says; same columns.
 
     A rate between two whole numbers is drawn by a hash of id and text, so that
-    the expected tokens are those of the fit; a rate of one but for the tolerance
-    is one. Callers that give no rules get whole rates, to the nearest, at targets
-    that only take toxic documents out. The rate follows from the text, so nothing
-    is joined or shuffled.
+    the expected tokens are those of the fit; a rate close to one is
+    one. The rate follows from the text, so nothing is joined or shuffled.
     """
-    nearest = rules is None
-    rules = rules or MixRules(targets={"good": 1.0, "plain": 1.0, "toxic": 0.05})
+    rules = rules or MixRules()
     fitted, _ = fit_mix(documents, labels, rules)
     send = documents.sparkSession.sparkContext.broadcast(fitted)
     text, width = documents.columns.index("text"), len(documents.columns)
-    drawn = documents.withColumn("treelens_draw", F.xxhash64("doc_id", "text"))
+    # A name that no column has.
+    draw = "draw" + "_" * max(map(len, documents.columns))
+    drawn = documents.withColumn(draw, F.xxhash64("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,8 +334,8 @@ def mixing_stage(documents: DataFrame, labels: DataFrame, rules: MixRules | None
             for first, last, part in texts_in(batch.column(text)):
                 p, _ = send.value.model.probabilities(part)
                 rate = rates(p, send.value.steps)
-                rate = np.where(np.abs(rate - 1) <= rules.tolerance, 1.0, rate)
-                copies = np.floor(rate + (0.5 if nearest else draws[first:last])).astype(np.int64)
+                rate = np.where(np.abs(rate - 1) <= rules.snap, 1.0, rate)
+                copies = np.floor(rate + draws[first:last]).astype(np.int64)
                 yield plain.take(pa.array(np.repeat(np.arange(first, last), copies)))
 
     return drawn.mapInArrow(run, documents.schema)
