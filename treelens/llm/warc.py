@@ -7,11 +7,12 @@ the last with the total length. Segments may lie in different archives. Reading
 back, continuations are grouped by the id they name, ordered by number, checked
 against the total length, and the framing is decoded.
 
-Of pages with equal payloads one is stored, the others refer to it.
+Of pages with equal payloads one is stored, the others refer to its record.
 
 Defined results: a null payload is empty and stored; rows with null or repeated
-ids are kept apart by a number of their own; an empty table gives no archive and
-an empty result. Records that lack segments or whose lengths differ come back
+ids are kept apart by a number of their own; of equal payloads whose largest id
+occurs on several rows, all of these are stored, and the others refer to the id;
+an empty table gives no archive and an empty result. Records that lack segments or whose lengths differ come back
 with `error` set instead of a payload.
 """
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from uuid import uuid4
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,25 +48,31 @@ class WarcRules:
 
 
 def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
-    """Pages with `row`, payload, its digest and length, record type, and what a revisit refers to.
+    """Pages with their `name`, payload, its digest and length, record type, and what a revisit refers to.
 
-    One payload may be on a third of all pages: the largest id per digest is
-    found by partial aggregates, and the join back is one that Spark may split.
+    `name` tells records apart: what others refer to goes by page and digest, the
+    rest by row. One payload may be on a third of all pages: the largest id per
+    digest is found by partial aggregates, and the join back is one that Spark
+    may split.
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), payload.alias("payload"))
     rows = rows.select("*", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     again = (
         rows.where(F.col("size") >= rules.min_revisit)
+        .groupBy("digest", "size", "page_id")
+        .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("digest", "size")
-        .agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("copies"))
+        .agg(F.max(F.struct("page_id", "n")).alias("last"), F.sum("n").alias("copies"))
         .where("copies > 1")
-        .select("digest", "size", "target")
+        .select("digest", "size", F.col("last.page_id").alias("target"), (F.col("last.n") == 1).alias("single"))
     )
     joined = rows.join(again, ["digest", "size"], "left")
-    revisit = F.col("target").isNotNull() & (F.coalesce(F.col("page_id"), F.lit(-1)) != F.col("target"))
+    revisit = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
+    named = F.when(F.col("single"), F.concat_ws(" ", "target", "digest"))
+    row = F.monotonically_increasing_id()
     return joined.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.when(~revisit & named.isNotNull(), named).otherwise(F.concat(F.lit("row "), row)).alias("name"),
         "page_id",
         "url",
         F.when(~revisit, F.col("payload")).alias("payload"),
@@ -71,6 +80,7 @@ def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
         "size",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("target")).alias("refers_to"),
+        F.when(revisit, named).alias("refers_to_name"),
     )
 
 
@@ -78,6 +88,8 @@ def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
 
 ROWS = 64  # pages taken from a batch at once
 LEVEL = 1  # of compression
+# Headers of this library: the ids of a page and of the one it repeats.
+PAGE, REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 
 
 def chunked(payload: bytes, size: int) -> bytes:
@@ -90,32 +102,47 @@ def chunked(payload: bytes, size: int) -> bytes:
 
 
 def one_line(value: object) -> str:
-    return re.sub(r"[\r\n]+", " ", str(value))
+    return value if isinstance(value, str) and value.isprintable() else re.sub(r"[\r\n]+", " ", str(value))
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    lines = [f"{name}: {one_line(value)}" for name, value in [*headers, ("Content-Length", len(block))]]
-    return "\r\n".join(["WARC/1.1", *lines, "", ""]).encode() + block + b"\r\n\r\n"
+    lines = [f"{name}: {one_line(value)}" for name, value in headers]
+    head = "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""])
+    return b"".join((head.encode(), block, b"\r\n\r\n"))
 
 
-def page_id_uri(page_id: object) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def record_uri(name: str, number: int = 1) -> str:
+    """A record's own identifier, which follows from its name and the segment's number."""
+    bits = hashlib.md5(f"{name} {number}".encode()).hexdigest()
+    return f"<urn:uuid:{bits[:8]}-{bits[8:12]}-4{bits[13:16]}-8{bits[17:20]}-{bits[20:]}>"
+
+
+def warcinfo(rules: WarcRules) -> bytes:
+    """The record that an archive begins with."""
+    block = b"software: treelens\r\nformat: WARC File Format 1.1\r\n"
+    own = f"<urn:uuid:{uuid4()}>"
+    headers = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", own), ("WARC-Date", rules.date)]
+    return record([*headers, ("Content-Type", "application/warc-fields")], block)
 
 
 def page_records(row: dict, rules: WarcRules) -> Iterator[bytes]:
-    """The records of one page."""
-    own = f"<urn:record:{row['row']}>"
+    """The records of one page; its id stands in a header of this library."""
+    own = record_uri(row["name"])
     common = [
         ("WARC-Record-ID", own),
         ("WARC-Date", rules.date),
         ("WARC-Target-URI", row["url"] or ""),
-        ("WARC-Concurrent-To", page_id_uri(row["page_id"])),
         ("WARC-Payload-Digest", f"sha1:{row['digest']}"),
+        ("Content-Type", "application/http;msgtype=response"),
     ]
+    if row["page_id"] is not None:
+        common.append((PAGE, row["page_id"]))
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if row["record_type"] == "revisit":
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        more = [("WARC-Profile", profile), ("WARC-Refers-To", page_id_uri(row["refers_to"]))]
+        more = [("WARC-Profile", profile), (REFERS_TO_PAGE, row["refers_to"])]
+        if row["refers_to_name"] is not None:
+            more.append(("WARC-Refers-To", record_uri(row["refers_to_name"])))
         # The block of a revisit is the HTTP head alone; it still tells the length.
         block = head + b"Content-Length: %d\r\n\r\n" % row["size"]
         yield record([("WARC-Type", "revisit"), *common, *more], block)
@@ -132,7 +159,7 @@ def page_records(row: dict, rules: WarcRules) -> Iterator[bytes]:
             continue
         headers = [
             ("WARC-Type", "continuation"),
-            ("WARC-Record-ID", f"<urn:record:{row['row']}:{number}>"),
+            ("WARC-Record-ID", record_uri(row["name"], number)),
             ("WARC-Date", rules.date),
             ("WARC-Segment-Origin-ID", own),
             ("WARC-Segment-Number", number),
@@ -142,22 +169,28 @@ def page_records(row: dict, rules: WarcRules) -> Iterator[bytes]:
         yield record(headers, part)
 
 
+def member(one: bytes) -> bytes:
+    """A record as a gzip member."""
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return packer.compress(one) + packer.flush()
+
+
 def archives(rows: DataFrame, rules: WarcRules) -> DataFrame:
     """Archives of about `rules.archive` bytes, one gzip member per record, as rows of `content`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        members: list[bytes] = []
-        size = 0
+        first = member(warcinfo(rules))
+        members, size = [first], 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 for row in batch.slice(at, ROWS).to_pylist():
                     for one in page_records(row, rules):
-                        members.append(gzip.compress(one, LEVEL, mtime=0))
+                        members.append(member(one))
                         size += len(members[-1])
                     if size >= rules.archive:
                         yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["content"])
-                        members, size = [], 0
-        if members:
+                        members, size = [first], 0
+        if len(members) > 1:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary())], ["content"])
 
     return rows.mapInArrow(run, "content binary")
@@ -165,53 +198,57 @@ def archives(rows: DataFrame, rules: WarcRules) -> DataFrame:
 
 # ---- reading ----
 
-HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 FIELDS = (
     "origin string, number int, total long, record_type string, page string, refers_to string, url string, "
     "digest string, block binary"
 )
 
 
-def members_of(content: bytes) -> Iterator[bytes]:
-    """Records of an archive, compressed or not, one by one."""
+def members_of(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
+    """Records of an archive, compressed or not, one by one: headers in lower case, and the block."""
     data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", start)
         if end < 0:
             return
-        length = re.search(rb"\r\nContent-Length:[ \t]*(\d+)", data[start : end + 2], re.I)
-        at = end + 4 + (int(length[1]) if length else 0)
-        yield data[start:at]
+        fields = {}
+        for line in data[start:end].split(b"\r\n")[1:]:
+            name, _, value = line.partition(b":")
+            fields[name.lower()] = value.strip()
+        at = end + 4 + int(fields.get(b"content-length") or 0)
+        yield fields, data[end + 4 : at]
+
 
+def parsed(fields: dict[bytes, bytes], block: bytes) -> tuple:
+    def text(name: bytes) -> str | None:
+        value = fields.get(name)
+        return None if value is None else value.decode("utf-8", "replace")
 
-def parsed(one: bytes) -> tuple:
-    head, _, block = one.partition(b"\r\n\r\n")
-    fields = {k.lower(): v.decode("utf-8", "replace") for k, v in HEADER.findall(head + b"\r\n")}
-    origin = fields.get(b"warc-segment-origin-id") or fields.get(b"warc-record-id")
     number, total = fields.get(b"warc-segment-number"), fields.get(b"warc-segment-total-length")
     return (
-        origin,
+        text(b"warc-segment-origin-id") or text(b"warc-record-id"),
         int(number) if number else None,
         int(total) if total else None,
-        fields.get(b"warc-type"),
-        fields.get(b"warc-concurrent-to"),
-        fields.get(b"warc-refers-to"),
-        fields.get(b"warc-target-uri"),
-        fields.get(b"warc-payload-digest"),
+        text(b"warc-type"),
+        text(PAGE.lower().encode()),
+        text(REFERS_TO_PAGE.lower().encode()),
+        text(b"warc-target-uri"),
+        text(b"warc-payload-digest"),
         block,
     )
 
 
 def records(stored: DataFrame) -> DataFrame:
-    """The records in the `content` of archives, such as `spark.read.format("binaryFile")` gives as well."""
+    """The records of pages in the `content` of archives, such as `spark.read.format("binaryFile")` gives as well."""
     names = [field.split()[0] for field in FIELDS.split(", ")]
     types = [pa.string(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = [parsed(one) for one in members_of(content.as_py() or b"")]
+                members = members_of(content.as_py() or b"")
+                rows = [parsed(fields, block) for fields, block in members if fields.get(b"warc-type") != b"warcinfo"]
                 columns = zip(*rows, strict=True) if rows else [[] for _ in names]
                 arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
@@ -235,8 +272,9 @@ def assembled(found: DataFrame) -> DataFrame:
             *[F.max(F.when(F.col("number") == 1, F.col(n))).alias(n) for n in keep],
         )
     )
-    blocks = F.transform("parts", lambda p: p["block"])
-    joined = F.aggregate(blocks, F.lit(b""), lambda all_of, part: F.concat(all_of, part))
+    # Joined as text in one go: adding one by one would copy a long page for every segment.
+    hexes = F.transform("parts", lambda p: F.hex(p["block"]))
+    joined = F.unhex(F.array_join(hexes, ""))
     expected = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: n)
     error = F.when(F.transform("parts", lambda p: p["number"]) != expected, "segments missing or doubled").when(
         F.col("total").isNull() | (F.col("total") != F.octet_length("block")), "length differs from total"
@@ -287,9 +325,8 @@ def read_archives(stored: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.string()]
     columns = ("record_type", "page", "refers_to", "url", "digest", "block", "error")
 
-    def number(uri: str | None) -> int | None:
-        found = re.fullmatch(r"<urn:page:(-?\d+)>", uri or "")
-        return int(found[1]) if found else None
+    def number(told: str | None) -> int | None:
+        return int(told) if told and re.fullmatch(r"-?\d+", told) else None
 
     def page(row: dict) -> tuple:
         payload, length = http_payload(row["block"] or b"")
