@@ -11,7 +11,8 @@ Defined results: null and empty texts stay as they are. Rows with the same id
 and text are one document for the order of passages, so they keep and lose the
 same ones; rows with null ids come first. Where a passage overlaps its own
 repeat, the first is left whole. An empty table gives an empty result. Other
-columns are carried along, whatever they are called.
+columns are carried along, whatever they are called. Work and memory grow with
+the number of lines of a document, whose lines are an array.
 """
 
 from __future__ import annotations
@@ -73,8 +74,14 @@ def passage_rows(documents: DataFrame, rules: ChunkRules) -> DataFrame:
         return F.struct((at - shortest(run["words"], rules) + 1).alias("first"), at.alias("last"))
 
     places = F.sequence(F.lit(0), n - 1)
-    runs = F.array_union(F.transform(places, onward), F.transform(places, backward))
-    found = materialised(filled, "runs", F.filter(runs, lambda r: r["first"].isNotNull() & r["last"].isNotNull()))
+    # In order of their first lines, so that a run is looked up in the others by its place.
+    from_each = materialised(filled, "onward", F.transform(places, onward))
+    up_to_each = F.filter(
+        F.transform(places, backward),
+        lambda r: r["first"].isNotNull() & ~F.get("onward", r["first"])["last"].eqNullSafe(r["last"]),
+    )
+    runs = F.concat(F.filter("onward", lambda r: r["last"].isNotNull()), up_to_each)
+    found = materialised(from_each, "runs", runs)
 
     def described(run: Column) -> Column:
         body = F.array_join(F.slice("marks", run["first"] + 1, run["last"] - run["first"] + 1)["line"], "\n")
@@ -118,15 +125,12 @@ def stretches(places: str) -> Column:
     return F.size(F.array_except(F.col(places), F.transform(places, lambda at: at + 1)))
 
 
-def line_dedup(documents: DataFrame, rules: ChunkRules | None = None) -> DataFrame:
-    """The documents without repeated passages.
+def without_repeats(documents: DataFrame, rules: ChunkRules) -> DataFrame:
+    """`doc` with all columns of a document, the text that is `left` of it, and counts.
 
-    `n_removed` counts the stretches of lines that went, `n_chunks` those and the
-    ones that stayed. The narrow list of removals is joined with the texts; only that join moves them.
+    The narrow list of removals is joined with the texts; only that join moves them.
     """
-    rules = rules or ChunkRules()
-    names = documents.columns
-    doc = F.struct(*[F.col(f"`{n}`") for n in names])
+    doc = F.struct(*[F.col(f"`{n}`") for n in documents.columns])
     carried = documents.select(F.col("doc_id"), F.col("text"), doc.alias("doc"))
     gone = repeated_lines(documents, rules).select(
         F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "removed"
@@ -140,31 +144,40 @@ def line_dedup(documents: DataFrame, rules: ChunkRules | None = None) -> DataFra
     placed = materialised(lines, "out", F.coalesce(F.array_distinct(F.flatten(spans)), none))
     pieces = materialised(placed, "kept", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("out")))
     rest = F.array_join(F.transform("kept", lambda at: F.get("lines", at)), "\n")
-    done = pieces.select(
+    return pieces.select(
         "doc",
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(rest).alias("left"),
-        (stretches("kept") + stretches("out")).cast("long").alias("chunk_count"),
-        stretches("out").cast("long").alias("removed_count"),
+        (stretches("kept") + stretches("out")).cast("long").alias("n_chunks"),
+        stretches("out").cast("long").alias("n_removed"),
     )
-    own = [n for n in names if n not in ("text", "n_chars", "n_chunks", "n_removed")]
-    columns = {n: F.col("doc").getField(n) for n in own}
+
+
+def own_columns(documents: DataFrame, names: list[str]) -> list[Column]:
+    """Columns of a document out of `doc`, with the new text and its length."""
+    columns = {n: F.col("doc").getField(n) for n in names}
     columns["text"] = F.col("left")
     if "n_chars" in names:
         changed = F.length("left").cast(documents.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when(F.col("removed_count") > 0, changed).otherwise(F.col("doc.n_chars"))
-    order = [n for n in names if n in columns]
-    return done.select(
-        *[columns[n].alias(n) for n in order],
-        F.col("chunk_count").alias("n_chunks"),
-        F.col("removed_count").alias("n_removed"),
-    )
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, changed).otherwise(F.col("doc.n_chars"))
+    return [columns[n].alias(n) for n in names]
+
+
+def line_dedup(documents: DataFrame, rules: ChunkRules | None = None) -> DataFrame:
+    """The documents without repeated passages.
+
+    `n_removed` counts the stretches of lines that went, `n_chunks` those and the
+    ones that stayed; they stand in place of columns of these names.
+    """
+    done = without_repeats(documents, rules or ChunkRules())
+    names = [n for n in documents.columns if n not in ("n_chunks", "n_removed")]
+    return done.select(*own_columns(documents, names), "n_chunks", "n_removed")
 
 
 def line_dedup_stage(documents: DataFrame, rules: ChunkRules | None = None) -> DataFrame:
     """The documents without repeated passages; those of which nothing is left go. Same columns."""
-    result = line_dedup(documents, rules)
-    emptied = (F.col("n_removed") > 0) & (F.trim("text") == "")
-    return result.where(~emptied).select(*[F.col(f"`{n}`") for n in documents.columns])
+    done = without_repeats(documents, rules or ChunkRules())
+    emptied = (F.col("n_removed") > 0) & (F.trim("left") == "")
+    return done.where(~emptied).select(*own_columns(documents, documents.columns))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
