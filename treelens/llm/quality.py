@@ -29,6 +29,8 @@ SYMBOLS = byte_class(b"#*$%&|<>")
 SENTENCE_END = byte_class(b".!?:;\"')]")
 CLOSING_MARKS = ("…", "”", "’", "»", "。", "！", "？")
 SEPARATORS = byte_class(b"|>")
+# Small letters; those beyond ASCII begin with one of the lead bytes of Latin, Greek and Cyrillic letters.
+SMALL = byte_class(bytes([*range(97, 123), *range(0xC3, 0xD2)]))
 
 BOILERPLATE = (
     "accept cookies",
@@ -62,6 +64,7 @@ class QualityRules:
     separators_per_line: int = 3
     max_marked_share: float = 0.5
     short_line: int = 30
+    wrapped_words: int = 4
     boilerplate: tuple[str, ...] = BOILERPLATE
 
 
@@ -146,7 +149,13 @@ def failing(
     doubled = (tail == before) & MARKS[tail] & (words.end - words.start > 1)
     marked = np.bincount(line_of_word, weights=doubled, minlength=n)
     navigation = links >= rules.separators_per_line
-    open_end = ~closed & (words_in_line < rules.short_line)
+    # A sentence may go on in the next line, which then begins with a small letter.
+    first = np.flatnonzero(np.insert(line_of_word[1:] != line_of_word[:-1], 0, True))
+    small = np.zeros(n + 1, dtype=bool)
+    small[line_of_word[first]] = SMALL[part.data[words.start[first]]]
+    follows = np.append(lines.text[1:] == lines.text[:-1], False)
+    goes_on = follows & small[1:] & (words_in_line >= rules.wrapped_words)
+    open_end = ~closed & ~goes_on & (words_in_line < rules.short_line)
     bad = navigation | open_end | (marked > rules.max_marked_share * words_in_line)
     lowered = part.raw.lower()
     for phrase in rules.boilerplate:
