@@ -143,3 +143,73 @@ SELECT f.doc_id, f.node AS leaf, t.node AS subroot, root.node AS root,
 FROM leaves f JOIN subroots t ON t.source = f.key JOIN last l ON l.key = f.key AND l.pos = f.pos
 LEFT JOIN proofs p ON p.key = f.key AND p.pos = f.pos, root
 """
+
+
+_REACHED = """
+reached(a, b) AS (
+    SELECT a, b FROM links
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+)"""
+
+JACCARD = f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+') AS w
+    FROM documents
+),
+spread AS (SELECT doc_id, len(w) AS n_words, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+runs AS (
+    SELECT doc_id, n_words, i, concat_ws(' ', word, lead(word, 1) OVER own, lead(word, 2) OVER own,
+        lead(word, 3) OVER own) AS gram
+    FROM spread WINDOW own AS (PARTITION BY doc_id ORDER BY i)
+),
+single AS (SELECT DISTINCT doc_id, gram FROM runs WHERE i <= greatest(n_words - 3, 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM single GROUP BY doc_id),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+    FROM single x JOIN single y ON y.gram = x.gram AND y.doc_id <> x.doc_id GROUP BY x.doc_id, y.doc_id
+),
+pairs AS (
+    SELECT a, b, c, x.n + y.n AS n FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+),
+links AS (SELECT a, b FROM pairs WHERE 100 * c >= 85 * (n - c)),
+{_REACHED},
+smallest AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, least(w.doc_id, coalesce(b, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes z ON z.doc_id = w.doc_id LEFT JOIN smallest ON a = w.doc_id
+"""
+
+VECTORS = f"""
+WITH RECURSIVE vectors AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+links AS (
+    SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y
+        ON y.vec_id <> x.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.9
+),
+{_REACHED},
+smallest AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+direct AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+found AS (
+    SELECT v.vec_id, coalesce(d.n, 0) AS n_links, least(v.vec_id, coalesce(s.b, v.vec_id)) AS component_id
+    FROM embeddings v LEFT JOIN direct d ON d.a = v.vec_id LEFT JOIN smallest s ON s.a = v.vec_id
+)
+SELECT *, vec_id = component_id AS kept FROM found
+"""
+
+WARC = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+),
+hashed AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS size, sha1(payload) AS digest FROM payloads),
+ranked AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS target FROM hashed),
+judged AS (SELECT *, size >= 1000 AND target IS NOT NULL AND page_id IS DISTINCT FROM target AS again FROM ranked)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest,
+    CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN again THEN target END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM judged
+"""

@@ -40,6 +40,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # The rules, hashes and trained models of the others are not SQL; tests compare
 # them with brute force, round trips and held-out rows.
 ORACLE: dict[str, str] = {
+    "op3_ngram_jaccard_join": oracle.JACCARD,
+    "op7_warc": oracle.WARC,
+    "op8_embedding_near_dedup": oracle.VECTORS,
     "op11_conversation_trie": oracle.TRIE,
     "op13_merkle_manifest": oracle.MERKLE,
 }
