@@ -81,6 +81,17 @@ def manifest_of_documents(
     return manifest_rows(found.withColumn("summary_status", F.lit("imported")), run_id, at)
 
 
+def with_documents(children: DataFrame, current: DataFrame) -> DataFrame:
+    """Add `has_document` to child directories (`root`, `dir`, `name`): whether a link to it leads somewhere.
+
+    `current` is the manifest of the directories that have a document.
+    """
+    child = F.concat_ws("/", F.nullif("dir", F.lit("")), "name")
+    stored = current.select("root", F.col("dir").alias("child"), F.lit(True).alias("stored"))
+    joined = children.withColumn("child", child).join(stored, ["root", "child"], "left")
+    return joined.select("root", "dir", "name", F.coalesce("stored", F.lit(False)).alias("has_document"))
+
+
 def purge_listing(current: DataFrame, root: str | None = None, below: str = "") -> DataFrame:
     """Directories whose documents a purge removes, in path order."""
     listed = current

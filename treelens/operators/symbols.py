@@ -174,6 +174,11 @@ def ordered_union(names: DataFrame) -> DataFrame:
     )
 
 
+def import_rows(records: DataFrame) -> DataFrame:
+    """Every module a file imports, with its place among the file's imports."""
+    return records.select("root", "dir", "path", F.posexplode("imports").alias("ordinal", "module"))
+
+
 def import_edges(records: DataFrame) -> DataFrame:
     """Distinct edges from a directory to the modules its files import."""
     return records.select("root", "dir", F.explode("imports").alias("module")).distinct()

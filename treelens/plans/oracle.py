@@ -289,6 +289,9 @@ ORACLE: dict[str, str] = {
     module_docstring, array_to_string(functions, ',') AS functions,
     array_to_string(classes, ',') AS classes, array_to_string(imports, ',') AS imports,
     parse_error FROM records""",
+    "import_rows": f"""WITH {RECORDS} SELECT root, dir, path,
+    CAST(i - 1 AS INTEGER) AS ordinal, imports[i] AS module
+    FROM (SELECT *, unnest(range(1, len(imports) + 1)) AS i FROM records)""",
     "import_edges": f"""WITH {RECORDS}, {SYMBOLS}
     SELECT DISTINCT root, dir, symbol AS module FROM symbols WHERE kind = 'import'""",
     "dir_rollup": f"""WITH {CODE_DIRS} SELECT root, dir, file_count, total_size_bytes, content_hash,
@@ -312,6 +315,14 @@ ORACLE: dict[str, str] = {
         parts[n] AS name FROM (SELECT root, parts, unnest(range(1, len(parts) + 1)) AS n FROM nested))
     SELECT root, dir, name FROM children
     WHERE NOT (name LIKE 'blog.%' OR name = 'fr' OR regexp_full_match(name, 'src1.'))""",
+    "subdirectory_documents": f"""WITH {ALL}, {_hashed('corpus')}, {DIRS}, {MANIFEST},
+    every AS (SELECT DISTINCT root, {PATH_PARTS} FROM corpus),
+    nested AS (SELECT root, string_split(dir, '/') AS parts FROM every WHERE dir <> ''),
+    children AS (SELECT DISTINCT root, array_to_string(list_slice(parts, 1, n - 1), '/') AS dir,
+        parts[n] AS name FROM (SELECT root, parts, unnest(range(1, len(parts) + 1)) AS n FROM nested))
+    SELECT root, dir, name, EXISTS (SELECT 1 FROM stored s WHERE s.root = children.root
+        AND s.dir = concat_ws('/', nullif(children.dir, ''), children.name)) AS has_document FROM children
+    WHERE NOT (name LIKE 'blog.%' OR name = 'fr' OR regexp_full_match(name, 'src1.'))""",
     "run_summary": f"""WITH status AS ({_changed(_DIFFERS)}),
     {ALL}, {_hashed('corpus')}, {DIRS}
     SELECT count(*) FILTER (changed) AS written, count(*) FILTER (NOT changed) AS skipped,

@@ -31,6 +31,7 @@ from treelens.operators.changes import (
     manifest_of_documents,
     purge_listing,
     run_summary,
+    with_documents,
 )
 from treelens.operators.groups import Limits
 from treelens.operators.listing import (
@@ -63,6 +64,7 @@ from treelens.operators.summaries import (
 )
 from treelens.operators.symbols import file_records as parse_files
 from treelens.operators.symbols import import_edges as edges_of
+from treelens.operators.symbols import import_rows as imports_of
 from treelens.operators.symbols import ordered_union as union_of
 from treelens.operators.symbols import parse_failures as failures_of
 from treelens.operators.symbols import symbols
@@ -388,6 +390,11 @@ def import_edges(spark: SparkSession, folder: str) -> DataFrame:
     return edges_of(_code_records(spark, folder))
 
 
+@query("import_rows")
+def import_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return imports_of(_code_records(spark, folder))
+
+
 # Aggregations
 
 
@@ -435,9 +442,18 @@ def subdirectories(spark: SparkSession, folder: str) -> DataFrame:
     return child_directories(directories_of(listing), IgnoreRules.of(["blog.*", "fr/", "src1?"]))
 
 
+@query("subdirectory_documents")
+def subdirectory_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of the child directories have a document that a link to them finds."""
+    hashes = written(directory_hashes(_hashed(_all_corpora(spark, folder))), "hashes")
+    listing = _paths(_all_corpora(spark, folder))
+    children = child_directories(directories_of(listing), IgnoreRules.of(["blog.*", "fr/", "src1?"]))
+    return with_documents(children, current_manifest(_manifest(hashes)))
+
+
 @query("run_summary")
 def run_counts(spark: SparkSession, folder: str) -> DataFrame:
-    hashes = directory_hashes(_hashed(_all_corpora(spark, folder)))
+    hashes = written(directory_hashes(_hashed(_all_corpora(spark, folder))), "hashes")
     status = change_status(hashes, current_manifest(_manifest(hashes)))
     errors = F.when(F.col("changed") & (F.col("total_size_bytes") % 3 == 0), 1).otherwise(0)
     return run_summary(status.withColumn("errors", errors))
@@ -448,7 +464,7 @@ def run_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def _changed(force: bool = False, retry_failed: bool = False) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        hashes = directory_hashes(_hashed(_all_corpora(spark, folder)))
+        hashes = written(directory_hashes(_hashed(_all_corpora(spark, folder))), "hashes")
         current = current_manifest(_manifest(hashes))
         status = change_status(hashes, current, force, retry_failed)
         return status.select("root", "dir", "content_hash", "changed")
