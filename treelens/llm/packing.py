@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 from math import ceil
 
 import numpy as np
@@ -35,6 +35,10 @@ from treelens.llm.arrays import slices, text_buffer
 from treelens.operators.workspace import written
 
 TOKENIZER = "word_bpe_49k.json"
+BATCH = 512  # words encoded at once
+# Fixed value: how the vocabulary marks the end of a word.
+WORD_END = "</w>"
+MARKS = ".,;:!?"
 
 
 @dataclass(frozen=True)
@@ -49,7 +53,7 @@ class PackRules:
     seed: int = 29
     tokens_per_range: int = 4_000_000
     max_ranges: int = 50_000
-    cached_words: int = 150_000
+    cached_words: int = 300_000
 
 
 # ---- tokens ----
@@ -59,53 +63,74 @@ class WordTokenizer:
     """Ids of texts, with the ids of each distinct word worked out once.
 
     The tokenizer drops white space and never joins what it separates, so the
-    ids of a text are those of its words in a row.
+    ids of a text are those of its words in a row. Words are remembered in two
+    generations: what was not met again while a generation filled up is forgotten.
     """
 
-    def __init__(self, path: str, cached_words: int):
+    def __init__(self, path: str, cached_words: int, kind: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached_words = cached_words
-        self.known: dict[bytes, int] = {}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each one has.
-
-        The commonest words come early, so the first ones are remembered; words
-        beyond that are worked out once per call.
-        """
+        self.cached_words, self.kind = cached_words, kind
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
+        marks = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in MARKS}
+        self.marks = {mark: np.array(ids, kind).tobytes() for mark, ids in marks.items()}
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def ids(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Ids of each text as bytes, and how many each one has."""
         words = [text.split() for text in texts]
-        flat = [word for own in words for word in own]
-        if not flat:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        number = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        pool, start, size = self.pool, self.start, self.size
-        missing = np.flatnonzero(number < 0)
-        if len(missing):
-            fresh: dict[bytes, int] = {}
-            base = len(start)
-            number[missing] = [fresh.setdefault(flat[k], base + len(fresh)) for k in missing.tolist()]
-            strings = [word.decode("utf-8", "replace") for word in fresh]
-            codes = [code.ids for code in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, codes), np.int64, len(codes))
-            start = np.concatenate([start, len(pool) + np.cumsum(sizes) - sizes])
-            size = np.concatenate([size, sizes])
-            pool = np.concatenate([pool, np.fromiter(chain.from_iterable(codes), np.uint32, int(sizes.sum()))])
-            if len(self.known) < self.cached_words:
-                self.known.update(fresh)
-                self.pool, self.start, self.size = pool, start, size
-        sizes = size[number]
-        ends = np.cumsum(sizes)
-        at = np.repeat(start[number] - (ends - sizes), sizes) + np.arange(ends[-1])
-        bounds = np.concatenate([[0], np.cumsum([len(own) for own in words])]).astype(np.int64)
-        return pool[at], np.diff(np.concatenate([[0], ends])[bounds])
+        known, old, fresh = self.known, self.old, []
+        for word in dict.fromkeys(chain.from_iterable(words)):
+            if word not in known:
+                code = old.get(word)
+                if code is None:
+                    fresh.append(word)
+                else:
+                    known[word] = code
+        for at in range(0, len(fresh), BATCH):
+            batch = fresh[at : at + BATCH]
+            known.update(zip(batch, self.codes([word.decode("utf-8", "replace") for word in batch])))
+        coded = [b"".join(map(known.__getitem__, own)) for own in words]
+        if len(known) > self.cached_words:
+            self.known, self.old = {}, known
+        return coded, np.array([len(own) for own in coded], np.int64) // np.dtype(self.kind).itemsize
+
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters, perhaps with a mark behind them that is a word of its
+        own, are encoded in a row, which costs half as much: the last id of each is one that ends a
+        word, and there is no other."""
+        out: list[bytes | None] = [None] * len(words)
+        plain, stems, tails = [], [], []
+        for k, word in enumerate(words):
+            tail = self.marks.get(word[-1:], b"") if not word.isalpha() else b""
+            stem = word[:-1] if tail else word
+            if stem.isalpha():
+                plain.append(k)
+                stems.append(stem)
+                tails.append(tail)
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(plain) and cuts[-1] == len(ids):
+                flat, width = ids.tobytes(), np.dtype(self.kind).itemsize
+                first = 0
+                for k, tail, last in zip(plain, tails, (width * cuts).tolist()):
+                    out[k], first = flat[first:last] + tail, last
+        rest = [k for k, code in enumerate(out) if code is None]
+        found = self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)
+        for k, code in zip(rest, found):
+            out[k] = np.array(code.ids, self.kind).tobytes()
+        return out
 
 
 @lru_cache(maxsize=1)
-def word_tokenizer(path: str, cached_words: int) -> WordTokenizer:
+def word_tokenizer(path: str, cached_words: int, kind: str) -> WordTokenizer:
     """One per worker process, so that tasks after the first know the words; it uses one core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path, cached_words)
+    return WordTokenizer(path, cached_words, kind)
 
 
 # ---- places on the curve ----
@@ -176,16 +201,15 @@ def tokens(documents: DataFrame, path: str, rules: PackRules) -> DataFrame:
     source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = word_tokenizer(path, rules.cached_words)
+        tokenizer = word_tokenizer(path, rules.cached_words, kind)
         for batch in batches:
             data, starts = text_buffer(batch.column(1))
             for first, last in slices(starts):
                 texts = [data[starts[k] : starts[k + 1]].tobytes() for k in range(first, last)]
-                ids, sizes = tokenizer.ids(texts)
-                curve = places(ids, sizes, rules)
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                end, small = np.array([rules.end_id], kind).tobytes(), ids.astype(kind)
-                coded = [small[bounds[k] : bounds[k + 1]].tobytes() + end for k in range(last - first)]
+                coded, sizes = tokenizer.ids(texts)
+                curve = places(np.frombuffer(b"".join(coded), kind), sizes, rules)
+                end = np.array([rules.end_id], kind).tobytes()
+                coded = [own + end for own in coded]
                 arrays = [
                     batch.column(0).slice(first, last - first),
                     pa.array(curve, pa.int64()),
