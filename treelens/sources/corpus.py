@@ -66,9 +66,9 @@ class TableCorpus:
         """
         paths = self.files.select("root", "path", F.xxhash64("root", "path").alias("hash"))
         seen = paths.groupBy("hash").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-        seen = written(seen.select("hash"), "repeated", lasting=True)
-        if seen.isEmpty():
+        if not seen.count():
             return None
+        seen = written(seen.select("hash"), "repeated", lasting=True)
         counted = paths.join(seen, "hash", "left_semi").groupBy("root", "path").agg(
             F.count(F.lit(1)).alias("rows")
         )
