@@ -34,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treelens.llm.arrays import Slice, mix, shingles, texts_in
+from treelens.llm.arrays import Slice, mix, shingles, text_buffer, texts_in
 from treelens.llm.graph import components
 from treelens.operators.workspace import written
 
 
+# Buckets whose counts bound an overlap from above; a count of MANY bounds nothing.
+BUCKET_BITS, MANY = 5, 255
+BUCKETS = 1 << BUCKET_BITS
+
+
 @dataclass(frozen=True)
 class JaccardRules:
     """n, the least similarity in percent, and sizes that only shape the work.
@@ -94,16 +99,32 @@ def set_ids(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(sums + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
+def bucket_counts(value: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """How many n-grams of each set fall into each of some buckets, a byte each, 255 for any more."""
+    n = np.diff(bounds)
+    place = np.repeat(np.arange(len(n)), n) * BUCKETS + (value >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    counts = np.minimum(np.bincount(place, minlength=BUCKETS * len(n)), MANY).astype(np.uint8)
+    ends = np.arange(len(n) + 1, dtype=np.int32) * BUCKETS
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(counts.tobytes())])
+
+
+def most_in_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The largest overlap that the bucket counts of two sets each leave room for."""
+    least = np.minimum(a, b)
+    return least.sum(1, dtype=np.int64) + (least == MANY).any(1) * (1 << 40)
+
+
 def sets_of(documents: DataFrame, rules: JaccardRules) -> DataFrame:
-    """`doc_id`, `id` of its set, `n` of its n-grams; and `common` n-grams of a task, on rows without id.
+    """`doc_id`, `id` of its set, `n` of its n-grams, their `counts` by buckets; and `common` n-grams
+    of a task, on rows without id.
 
     Counts over a task need not be exact: they only shape the order of n-grams.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    schema = "doc_id long, id long, n long, gram long, texts long"
+    schema = "doc_id long, id long, n long, counts binary, gram long, texts long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "id", "n", "gram", "texts"]
+        names = ["doc_id", "id", "n", "counts", "gram", "texts"]
         for batch in batches:
             often: list[np.ndarray] = []
             for first, last, part in texts_in(batch.column(1), lower=True):
@@ -113,6 +134,7 @@ def sets_of(documents: DataFrame, rules: JaccardRules) -> DataFrame:
                     batch.column(0).slice(first, size),
                     pa.array(set_ids(value, bounds)),
                     pa.array(np.diff(bounds)),
+                    bucket_counts(value, bounds),
                     pa.nulls(size, pa.int64()),
                     pa.nulls(size, pa.int64()),
                 ]
@@ -124,7 +146,8 @@ def sets_of(documents: DataFrame, rules: JaccardRules) -> DataFrame:
             if often:
                 gram, n = np.unique(np.concatenate(often), return_counts=True)
                 nothing = pa.nulls(len(gram), pa.int64())
-                arrays = [nothing, nothing, nothing, pa.array(gram.view(np.int64)), pa.array(n + 3)]
+                none = pa.nulls(len(gram), pa.binary())
+                arrays = [nothing, nothing, nothing, none, pa.array(gram.view(np.int64)), pa.array(n + 3)]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     return source.mapInArrow(run, schema)
@@ -219,6 +242,17 @@ def postings(documents: DataFrame, common: tuple[np.ndarray, np.ndarray], rules:
     return dealt.mapInArrow(shared, "gram long, id long, n int")
 
 
+def placed(posted: DataFrame) -> DataFrame:
+    """Postings with the `place` of their class: those that share most with others come first.
+
+    Of near copies this is the text they were made from, which has more in common
+    with each of them than they have with each other.
+    """
+    sizes = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
+    shares = posted.join(sizes, "gram").groupBy("id").agg((-F.sum("classes")).alias("place"))
+    return posted.join(shares, "id")
+
+
 # ---- pairs ----
 
 
@@ -259,32 +293,39 @@ class Overlaps:
         self.parts, self.size = [], 0
 
 
-def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules) -> DataFrame:
+def multiplied(
+    posted: DataFrame, labels: DataFrame | None, classes: DataFrame | None, rules: JaccardRules
+) -> DataFrame:
     """Promising pairs `a` < `b` of classes with different labels in a posting.
 
-    Without labels, each class is only multiplied with the hubs of its posting, its
-    smallest ids: a class has few pairs then, however many near copies it has.
+    Without labels, each class is only multiplied with the hubs of its posting, the
+    first by `place`: a class has few pairs then, however many near copies it has.
+    With labels, pairs whose bucket counts (of `classes`) leave no room for the
+    overlap that their sizes ask for are dropped at once.
     """
     most = rules.hubs if labels is None else None
     if labels is None:
-        known = posted.select("gram", "id", "n", F.col("id").alias("label"))
+        known = posted.select(
+            "gram", "id", "n", "place", F.col("id").alias("label"), F.lit(None).cast("binary").alias("counts")
+        )
     else:
-        known = posted.join(labels, posted["id"] == labels["node"], "left").select(
-            "gram", "id", "n", F.coalesce("component", "id").alias("label")
+        told = classes.join(labels, classes["id"] == labels["node"], "left").select(
+            "id", F.coalesce("component", "id").alias("label"), "counts"
         )
+        known = posted.join(told, "id").select("gram", "id", "n", "place", "label", "counts")
     mixed = (
         known.groupBy("gram")
         .agg(
             F.min("label").alias("low"),
             F.max("label").alias("high"),
-            F.min("id").alias("first"),
+            F.min(F.struct("place", "id"))["id"].alias("first"),
             F.count(F.lit(1)).alias("m"),
         )
         .where("low <> high")
         .select("gram", "first", F.ceil(F.col("m") / rules.block).cast("int").alias("blocks"))
     )
     rows = known.join(mixed, "gram")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    mine = F.when(F.col("id") == F.col("first"), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     if labels is None:
         # The hubs are in the first block.
@@ -296,9 +337,11 @@ def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules)
         F.least("mine", "other").alias("i"),
         F.greatest("mine", "other").alias("j"),
         (F.col("mine") <= F.col("other")).alias("left"),
+        "place",
         "id",
         "n",
         "label",
+        "counts",
     )
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,6 +367,9 @@ def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules)
         if len(starts) < 2:
             return
         ids, n, label = (table.column(c).to_numpy() for c in ("id", "n", "label"))
+        room = None
+        if most is None:
+            room = text_buffer(table.column("counts").combine_chunks())[0].reshape(-1, BUCKETS)
         left = table.column("left").to_numpy(zero_copy_only=False)
         diagonal = table.column("i").to_numpy() == table.column("j").to_numpy()
         # N-grams of one passage have the same list of classes: it is multiplied once, for all of them.
@@ -338,16 +384,21 @@ def multiplied(posted: DataFrame, labels: DataFrame | None, rules: JaccardRules)
             a = a[:most]
             for at in range(0, len(b), 256):
                 p, q = np.meshgrid(a, b[at : at + 256], indexing="ij")
-                apart = (label[p] != label[q]) & (ids[p] < ids[q] if diagonal[first] else True)
+                apart = (label[p] != label[q]) & (p < q if diagonal[first] else True)
                 fits = 100 * np.minimum(n[p], n[q]).astype(np.int64) >= rules.percent * np.maximum(n[p], n[q]).astype(np.int64)
                 p, q = p[apart & fits], q[apart & fits]
+                if room is not None:
+                    need = rules.percent * (n[p].astype(np.int64) + n[q])
+                    enough = (100 + rules.percent) * most_in_common(room[p], room[q]) >= need
+                    p, q = p[enough], q[enough]
                 swap = ids[p] > ids[q]
                 p, q = np.where(swap, q, p), np.where(swap, p, q)
                 yield from sums.add(ids[p], n[p], ids[q], n[q], np.full(len(p), weight, np.int64))
 
-    # N-grams of one passage have about the same classes: dealt out by the smallest
-    # one they meet in a task, which adds their overlaps up before they are shuffled.
-    blocks = keyed.repartition("first", "i", "j").sortWithinPartitions("first", "i", "j", "gram", "id").drop("first")
+    # N-grams of one passage have about the same classes: dealt out by their first hub
+    # they meet in a task, which adds their overlaps up before they are shuffled.
+    order = ["first", "i", "j", "gram", "place", "id"]
+    blocks = keyed.repartition("first", "i", "j").sortWithinPartitions(*order).drop("first", "place")
     pairs = blocks.mapInArrow(multiply, "a long, n_a int, b long, n_b int, c long")
     counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.sum("c").alias("c"))
     return promising(counted, rules).select("a", "b")
@@ -407,13 +458,17 @@ def near_documents(documents: DataFrame, rules: JaccardRules | None = None) -> D
     scanned = written(sets_of(documents, rules), "sets")
     rows = scanned.where("id IS NOT NULL").select("doc_id", "id", "n")
     classes = written(
-        rows.where("doc_id IS NOT NULL AND n > 0").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "classes"
+        scanned.where("doc_id IS NOT NULL AND n > 0")
+        .groupBy("id")
+        .agg(F.min("doc_id").alias("doc_id"), F.min("counts").alias("counts")),
+        "classes",
     )
     posted = written(postings(documents, common_grams(scanned, rules), rules), "postings")
-    tried = written(multiplied(posted, None, rules), "pairs")
+    posted = written(placed(posted), "postings")
+    tried = written(multiplied(posted, None, None, rules), "pairs")
     links = written(verified(tried, classes, documents, rules), "verified")
     labels = components(links)
-    rest = written(multiplied(posted, labels, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
+    rest = written(multiplied(posted, labels, classes, rules).join(tried, ["a", "b"], "left_anti"), "pairs")
     more = verified(rest, classes, documents, rules)
     # Rows with one id are one document, whatever their sets.
     several = rows.where("doc_id IS NOT NULL AND n > 0").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b"))
