@@ -291,13 +291,14 @@ def test_warc_round_trip(spark):
     assert read_archives(write_archives(pages.limit(0))).count() == 0
 
 
-def test_warc_references_name_records(spark):
+@pytest.mark.parametrize("listed", [500_000, 0])
+def test_warc_references_name_records(spark, listed):
     import gzip
 
     big, tied = "é<p>" * 3000, "tie" * 900
     rows = [(1, big), (2, big), (None, big), (5, tied), (5, tied), (4, tied), (None, "n" * 2000), (None, "n" * 2000), (8, "s"), (8, "s")]
     pages = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'http://a' AS url")
-    stored = write_archives(pages.repartition(3), WarcRules(segment=700))
+    stored = write_archives(pages.repartition(3), WarcRules(segment=700, listed=listed))
     data = b"".join(gzip.decompress(bytes(r.content)) for r in stored.collect())
     heads = [h for h in data.split(b"\r\n\r\n") if h.startswith(b"WARC/1.1")]
     ids = [h.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for h in heads]

@@ -35,13 +35,18 @@ from treelens.operators.workspace import written
 
 @dataclass(frozen=True)
 class WarcRules:
-    """Sizes in bytes; pages with equal payloads of `min_revisit` and more are stored once."""
+    """Sizes in bytes; pages with equal payloads of `min_revisit` and more are stored once.
+
+    Up to `listed` digests that occur again, some 60 bytes each, are sent to all
+    tasks; more are joined by shuffle.
+    """
 
     min_revisit: int = 1000
     segment: int = 4096
     http_chunk: int = 1024
     archive: int = 4 << 20
     date: str = "2025-01-01T00:00:00Z"
+    listed: int = 500_000
 
 
 # ---- which page is stored, which refers to it ----
@@ -67,7 +72,9 @@ def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
         .where("copies > 1")
         .select("digest", "size", F.col("last.page_id").alias("target"), (F.col("last.n") == 1).alias("single"))
     )
-    joined = rows.join(again, ["digest", "size"], "left")
+    again = written(again, "again")
+    # Payloads stay where they are read if the list is known to be small.
+    joined = rows.join(F.broadcast(again) if again.count() <= rules.listed else again, ["digest", "size"], "left")
     revisit = F.col("target").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target"))
     named = F.when(F.col("single"), F.concat_ws(" ", "target", "digest"))
     row = F.monotonically_increasing_id()
