@@ -18,7 +18,6 @@ with `error` set instead of a payload.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import zlib
@@ -95,6 +94,7 @@ def record_types(pages: DataFrame, rules: WarcRules) -> DataFrame:
 
 ROWS = 64  # pages taken from a batch at once
 LEVEL = 1  # of compression
+WINDOW = 1 << 13  # bytes of an archive unpacked at once
 # Headers of this library: the ids of a page and of the one it repeats.
 PAGE, REFERS_TO_PAGE = "X-Page-ID", "X-Refers-To-Page-ID"
 
@@ -211,9 +211,30 @@ FIELDS = (
 )
 
 
+def unpacked(content: bytes) -> bytes:
+    """What the gzip members of an archive hold, one after the other; zeros may follow each.
+
+    A window goes over the archive, since a member hands back all bytes behind it: with the whole
+    archive given, it would be copied once for each of its records.
+    """
+    parts, at, view = [], 0, memoryview(content)
+    while at < len(content):
+        unpacker = zlib.decompressobj(31)
+        while not unpacker.eof:
+            piece = view[at : at + WINDOW]
+            if not piece:
+                raise EOFError("archive ends inside a gzip member")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece)
+        at -= len(unpacker.unused_data)
+        while content[at : at + 1] == b"\0":
+            at += 1
+    return b"".join(parts)
+
+
 def members_of(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
     """Records of an archive, compressed or not, one by one: headers in lower case, and the block."""
-    data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    data = unpacked(content) if content[:2] == b"\x1f\x8b" else content
     at = 0
     while (start := data.find(b"WARC/", at)) >= 0:
         end = data.find(b"\r\n\r\n", start)
