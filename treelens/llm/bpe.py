@@ -38,12 +38,33 @@ from treelens.llm.arrays import slices, text_buffer
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 ENCODED = "doc_id long, n_tokens long, ids binary"
-# Pieces of a text at once, remembered pieces and pairs, and the longest piece that is remembered.
-BLOCK, KNOWN_PIECES, KNOWN_PAIRS, LONG_PIECE = 500_000, 400_000, 1_000_000, 64
+# Pieces of a text at once, remembered pieces (in each of two generations) and pairs, and the longest piece
+# that is remembered. A piece takes some 250 bytes and a pair 120, in every worker process of an executor.
+BLOCK, KNOWN_PIECES, KNOWN_PAIRS, LONG_PIECE = 500_000, 100_000, 250_000, 64
+PLANE = 1 << 16  # characters compared at once
 # Stands for letters and digits that the tokenizer's Unicode tables do not have: neither of both, nor a space.
 NEITHER = "\ue000"
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+def tokens_by_rank(rank: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(rank.values()) + 1)
+    for token, number in rank.items():
+        tokens[number] = token
+    return tokens
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs, in processes that do not encode."""
+    return tokens_by_rank(ranks(path))
+
+
 class Vocabulary:
     """Tokens of a rank file, and which two tokens may stand side by side.
 
@@ -52,13 +73,9 @@ class Vocabulary:
     """
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            pairs = [line.split() for line in lines if line.strip()]
-        self.rank = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        count = max(self.rank.values()) + 1
-        self.tokens: list[bytes] = [b""] * count
-        for token, rank in self.rank.items():
-            self.tokens[rank] = token
+        self.rank = ranks(path)
+        self.tokens = tokens_by_rank(self.rank)
+        count = len(self.tokens)
         missing = [byte for byte in range(256) if bytes([byte]) not in self.rank]
         if missing:
             raise ValueError(f"{path} has no token for {len(missing)} of the 256 bytes")
@@ -157,12 +174,13 @@ class Splitter:
 
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
-        every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-        ranks = {bytes([byte]): byte for byte in range(256)}
+        single = {bytes([byte]): byte for byte in range(256)}
         odd: set[str] = set()
         for kind in (r"\p{L}", r"\p{N}", r"\s"):
-            library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=ranks, special_tokens={})
-            odd ^= set(regex.findall(kind, every)) ^ set(bytes(library.encode_ordinary(every)).decode())
+            library = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
+            for first in range(0, 0x110000, PLANE):
+                every = "".join(chr(c) for c in range(first, first + PLANE) if not 0xD800 <= c < 0xE000)
+                odd ^= set(regex.findall(kind, every)) ^ set(bytes(library.encode_ordinary(every)).decode())
         self.odd = frozenset(odd)
         self.replaced = {ord(c): NEITHER for c in odd}
         # Most texts have no character as high as the first of these.
@@ -240,7 +258,7 @@ def bpe_decode(ids: Column, path: str | None = None) -> Column:
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = vocabulary(path).tokens.__getitem__
+        token = decoder(path).__getitem__
         for batch in batches:
             decoded = [
                 None if own is None else b"".join(map(token, np.frombuffer(own, "<u4").tolist()))
