@@ -29,3 +29,12 @@ def test_split(spark):
     assert split.bounded.count() == 6 and split.oversized.count() == 7
     within = split_by_size(rows, ["k"], Limits(), F.col("w"))
     assert within.oversized is None and within.bounded.count() == 13
+
+
+def test_the_tasks_of_a_sort_do_not_grow_with_the_number_of_pieces(spark):
+    rows = spark.range(40_000).select((F.col("id") % 100).alias("k"), F.col("id").alias("name"))
+    split = split_by_size(rows, ["k"], Limits(rows=5))
+    # 8,000 pieces; a task for every 16 of them sent as many task results to the driver.
+    assert split.cut.rows == 5 and split.cut.ranges <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = in_pieces(split.oversized, ["k", "name"], split.cut).groupBy("piece").count()
+    assert found.agg(F.max("count"), F.sum("count")).first() == (5, 40_000)

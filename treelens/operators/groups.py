@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 # At most this many large groups are named in a broadcast filter.
 MAX_LISTED = 50_000
-PIECES_PER_TASK = 16
+# Rows and bytes that a task sorts before they are cut, however small the pieces are.
+ROWS_PER_TASK = 1_600_000
+BYTES_PER_TASK = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,8 @@ def split_by_size(
         rows, weights = large.agg(F.sum("n"), F.sum("w")).first()
         names = large.select(*keys)
     pieces = ceil(max(rows / limits.rows, weights / limits.bytes))
-    ranges = min(pieces, max(task_count(df), ceil(pieces / PIECES_PER_TASK)))
+    tasks = ceil(max(rows / ROWS_PER_TASK, weights / BYTES_PER_TASK))
+    ranges = min(pieces, max(task_count(df), tasks))
     return Split(
         df.join(names, list(keys), "left_anti"),
         df.join(names, list(keys), "left_semi"),
