@@ -27,11 +27,11 @@ def traced():
 def test_remembered_pieces_stay_few_whatever_is_met(traced):
     pieces = bpe.Pieces(Letters())
     before = traced.get_traced_memory()[0]
-    for number in range(900_000):
+    for number in range(790_000):
         pieces[f" w{number}"]
     kept = traced.get_traced_memory()[0] - before
     assert pieces[" w5"] == b"".join(byte.to_bytes(4, "little") for byte in b" w5")
-    # It was over 150 MB, which two such processes and their decoders did not leave an executor.
+    # With 400,000 pieces to a generation it was more, which two such processes and their decoders did not leave an executor.
     assert kept < 80 * MEGABYTE
 
 

@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 from math import ceil
 
 import numpy as np
@@ -31,14 +31,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from treelens.llm.arrays import slices, text_buffer
+from treelens.llm.arrays import UPPER, slices, text_buffer
 from treelens.operators.workspace import written
 
 TOKENIZER = "word_bpe_49k.json"
 BATCH = 512  # words encoded at once
 # Fixed value: how the vocabulary marks the end of a word.
 WORD_END = "</w>"
-MARKS = ".,;:!?"
+MARKS = ".,;:!?#$%&*"
+MARK_BYTES = MARKS.encode()
+LONG_MARKS = 3  # the longest run of marks that is remembered
 
 
 @dataclass(frozen=True)
@@ -73,58 +75,98 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[number for token, number in vocabulary.items() if token.endswith(WORD_END)]] = True
-        marks = {mark: self.tokenizer.encode(mark, add_special_tokens=False).ids for mark in MARKS}
-        self.marks = {mark: np.array(ids, kind).tobytes() for mark, ids in marks.items()}
+        normalizer = self.tokenizer.normalizer
+        self.lowers = normalizer is not None and normalizer.normalize_str(UPPER.decode()) == UPPER.decode().lower()
+        self.specials = [token.content.lower().encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {"": b""}
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """Ids of each text as bytes, and how many each one has."""
-        words = [text.split() for text in texts]
-        known, old, fresh = self.known, self.old, []
-        for word in dict.fromkeys(chain.from_iterable(words)):
-            if word not in known:
-                code = old.get(word)
-                if code is None:
-                    fresh.append(word)
-                else:
-                    known[word] = code
-        for at in range(0, len(fresh), BATCH):
-            batch = fresh[at : at + BATCH]
-            known.update(zip(batch, self.codes([word.decode("utf-8", "replace") for word in batch])))
-        coded = [b"".join(map(known.__getitem__, own)) for own in words]
+        own = [self.folded(text).split() for text in texts]
+        words = list(chain.from_iterable(own))
+        known = self.known
+        found = list(map(known.get, words))
+        missed = [k for k, code in enumerate(found) if code is None]
+        distinct, old = set(map(words.__getitem__, missed)), self.old
+        again = old.keys() & distinct
+        known.update(zip(again, map(old.__getitem__, again)))
+        letters, others, marked = set(), set(), []
+        for word in distinct - again:
+            if word.isalpha():
+                letters.add(word)
+                continue
+            stem = word.rstrip(MARK_BYTES)
+            # Marks behind a letter are a word of their own.
+            if len(stem) == len(word) or not stem[-1:].isalpha():
+                others.add(word)
+                continue
+            marked.append((word, stem))
+            if stem in old:
+                known[stem] = old[stem]
+            elif stem not in known:
+                (letters if stem.isalpha() else others).add(stem)
+        for fresh in (list(letters), list(others)):
+            for at in range(0, len(fresh), BATCH):
+                batch = fresh[at : at + BATCH]
+                known.update(zip(batch, self.codes(batch)))
+        for word, stem in marked:
+            known[word] = known[stem] + self.mark_codes(word[len(stem) :].decode())
+        for k in missed:
+            found[k] = known[words[k]]
         if len(known) > self.cached_words:
             self.known, self.old = {}, known
-        return coded, np.array([len(own) for own in coded], np.int64) // np.dtype(self.kind).itemsize
-
-
-    def codes(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Words of letters, perhaps with a mark behind them that is a word of its
+        ends = list(accumulate(map(len, own), initial=0))
+        coded = [b"".join(found[first:last]) for first, last in pairwise(ends)]
+        return coded, np.array([len(ids) for ids in coded], np.int64) // np.dtype(self.kind).itemsize
+
+    def folded(self, text: bytes) -> bytes:
+        """The text with A-Z in lower case, if the tokenizer does the same and nothing else hangs on it:
+        letters that an accent may be composed with, and what would become a special token."""
+        if not self.lowers or b"\xcc" in text or b"\xcd" in text:
+            return text
+        low = text.lower()
+        return text if any(special in low for special in self.specials) else low
+
+    def codes(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words of letters, perhaps with marks behind them that are a word of their
         own, are encoded in a row, which costs half as much: the last id of each is one that ends a
         word, and there is no other."""
+        texts = b" ".join(words).decode("utf-8", "replace").split(" ")
+        stems = [text if text.isalpha() else text.rstrip(MARKS) for text in texts]
+        plain = [k for k, stem in enumerate(stems) if stem.isalpha()]
+        coded = self.row_codes([stems[k] for k in plain])
+        if coded is not None and len(coded) == len(words) and stems == texts:
+            return coded
         out: list[bytes | None] = [None] * len(words)
-        plain, stems, tails = [], [], []
-        for k, word in enumerate(words):
-            tail = self.marks.get(word[-1:], b"") if not word.isalpha() else b""
-            stem = word[:-1] if tail else word
-            if stem.isalpha():
-                plain.append(k)
-                stems.append(stem)
-                tails.append(tail)
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(stems), add_special_tokens=False).ids, self.kind)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(plain) and cuts[-1] == len(ids):
-                flat, width = ids.tobytes(), np.dtype(self.kind).itemsize
-                first = 0
-                for k, tail, last in zip(plain, tails, (width * cuts).tolist()):
-                    out[k], first = flat[first:last] + tail, last
+        for k, code in zip(plain, coded or []):
+            out[k] = code + self.mark_codes(texts[k][len(stems[k]) :])
         rest = [k for k, code in enumerate(out) if code is None]
-        found = self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
         for k, code in zip(rest, found):
             out[k] = np.array(code.ids, self.kind).tobytes()
         return out
 
+    def row_codes(self, stems: list[str]) -> list[bytes] | None:
+        """Ids of words in a row; None if they do not end where the words do."""
+        row = self.tokenizer.encode_batch_fast([" ".join(stems)], add_special_tokens=False)[0]
+        ids = np.array(row.ids, self.kind)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(stems) or len(ids) and cuts[-1] != len(ids):
+            return None
+        flat, bounds = ids.tobytes(), [0, *(ids.itemsize * cuts).tolist()]
+        return [flat[first:last] for first, last in pairwise(bounds)]
+
+    def mark_codes(self, marks: str) -> bytes:
+        code = self.marks.get(marks)
+        if code is None:
+            ids = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            code = np.array(ids, self.kind).tobytes()
+            if len(marks) <= LONG_MARKS:
+                self.marks[marks] = code
+        return code
+
 
 @lru_cache(maxsize=1)
 def word_tokenizer(path: str, cached_words: int, kind: str) -> WordTokenizer:
